@@ -34,6 +34,8 @@ from shardloom.sources.scratch import materialize
 GROUPS = 16
 #: Records in one block of the index; beyond it blocks are paired, so that a task's memory stays bounded.
 BLOCK_RECORDS = 400_000
+#: Records whose words a worker holds at once.
+SLICE_ROWS = 500
 _FINGERPRINT = "document_id string, loaded_at timestamp, usable boolean, cid long, grp int, block int, payload binary"
 
 
@@ -53,7 +55,7 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 def _fingerprint(width: int, least_words: int, groups: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
             ids, titles, contents, loaded = (batch.column(i) for i in range(4))
             usable, found, lengths = [], [], []
             for title, content in zip(titles.to_pylist(), contents.to_pylist()):
@@ -147,31 +149,37 @@ class _Group:
         return out
 
 
-def _tally(token: np.ndarray, owner: np.ndarray, side: np.ndarray | None, n: int, least: int, step: int = 4_000_000) -> np.ndarray:
-    """Codes a * n + b, a < b, of pairs that share `least` tokens or more. Tokens are walked in order, a list at a time."""
+def _tally(token: np.ndarray, owner: np.ndarray, side: np.ndarray | None, n: int, least: int, step: int = 1_000_000) -> np.ndarray:
+    """Codes a * n + b, a < b, of pairs that share `least` tokens or more.
+
+    Records are walked in order, each with the later partners in all its lists, so that a piece of some `step` matches
+    is tallied to the end and what falls short is forgotten at once.
+    """
     order = np.lexsort((owner, token))
     t, o = token[order], owner[order]
-    starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.array([], int)
-    ends = np.r_[starts[1:], len(t)]
-    # partners that come later in the same list
-    later = np.repeat(ends, ends - starts) - np.arange(len(t)) - 1 if len(t) else np.array([], int)
-    done = np.r_[0, np.cumsum(later)]
-    codes, counts, lo = np.array([], np.int64), np.array([], np.int64), 0
-    while lo < len(t):
-        hi = max(lo + 1, int(np.searchsorted(done, done[lo] + step, "right")) - 1)
-        m = later[lo:hi]
-        left = np.repeat(np.arange(lo, hi), m)
-        right = left + 1 + np.arange(m.sum()) - np.repeat(np.r_[0, np.cumsum(m)[:-1]], m)
+    if not len(t):
+        return np.array([], np.int64)
+    starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    sizes = np.diff(np.r_[starts, len(t)])
+    later = np.repeat(starts + sizes, sizes) - np.arange(len(t)) - 1
+    entry = np.argsort(o, kind="stable")
+    first = np.flatnonzero(np.r_[True, o[entry][1:] != o[entry][:-1]])  # entries of a record stay together
+    done = np.r_[0, np.cumsum(later[entry])]
+    cuts, out, lo = np.r_[first, len(entry)], [], 0
+    while lo < len(first):
+        hi = max(lo + 1, int(np.searchsorted(done[cuts], done[cuts[lo]] + step, "right")) - 1)
+        e = entry[cuts[lo] : cuts[hi]]
+        m = later[e]
+        left = np.repeat(e, m)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
         x, y = o[left], o[right]
         if side is not None:
             other = side[x] != side[y]
             x, y = x[other], y[other]
-        new, k = np.unique(x.astype(np.int64) * n + y, return_counts=True)
-        merged = np.concatenate([codes, new])
-        codes, back = np.unique(merged, return_inverse=True)
-        counts = np.bincount(back, np.concatenate([counts, k]), len(codes)).astype(np.int64)
+        codes, counts = np.unique(x.astype(np.int64) * n + y, return_counts=True)
+        out.append(codes[counts >= least])
         lo = hi
-    return codes[counts >= least]
+    return np.concatenate(out)
 
 
 def _local_join(similarity: float, shared: int):
