@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shardloom.llm.leakage import leaked_passages
+from shardloom.llm.mixing import mix_sources, reached_shares, sized_texts
 from shardloom.llm.neardup import NearDuplicates
+from shardloom.llm.splitting import split_oversized
+from shardloom.llm.vectors import most_similar
+from shardloom.sources.scratch import materialize
 from shardloom.sources.tables import table
 
 
@@ -22,5 +28,62 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _near(spark, folder).groups()
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
-SQL: dict[str, str] = {}
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all oversized contents."""
+    documents = table(spark, folder, "document_store", "document_id", "index_name", "content", "loaded_at")
+    return split_oversized(documents, table(spark, folder, "indices"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records whose content had to be split."""
+    return p3_pieces(spark, folder).select("document_id").distinct()
+
+
+def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 most similar vectors of each vec_id that is divisible by 100, with cosine and rank."""
+    vectors = table(spark, folder, "child_chunks", "vec_id", "embedding")
+    return most_similar(vectors, vectors.select("vec_id").where("vec_id % 100 = 0"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Unordered pairs of a probe and one of its 10 nearest."""
+    found = most_similar(table(spark, folder, "child_chunks", "vec_id", "embedding"), table(spark, folder, "knn_probes", "vec_id"))
+    return found.select(F.least("query", "vec_id").alias("vec_id_a"), F.greatest("query", "vec_id").alias("vec_id_b")).distinct()
+
+
+def p6_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaked passages with their place in the original text."""
+    return leaked_passages(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the items that they contain."""
+    return p6_passages(spark, folder).select("doc_id", "item_id").distinct()
+
+
+def _sized(spark: SparkSession, folder: str, **how) -> DataFrame:
+    return materialize(sized_texts(table(spark, folder, "documents", "doc_id", "text", "source"), **how), "sized")
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of each mix with their copies; sizes in tokens of the public byte-level vocabulary."""
+    return mix_sources(_sized(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and reached shares of each mix and source."""
+    sized, targets = _sized(spark, folder), table(spark, folder, "mix_targets")
+    return reached_shares(mix_sources(sized, targets), sized, targets)
+
+
+def p7_shares_plain(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with sizes in runs of characters without white space."""
+    sized, targets = _sized(spark, folder, vocabulary=None), table(spark, folder, "mix_targets")
+    return reached_shares(mix_sources(sized, targets), sized, targets)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p5_found, p5_neighbours, p6_found, p6_passages, p7_mix, p7_shares, p7_shares_plain)}
+SQL = {
+    "p3_found": r"""SELECT DISTINCT d.document_id FROM document_store d JOIN indices i ON d.index_name = i.index_name
+WHERE i.max_parent_chunk_size > 0 AND len(regexp_extract_all(d.content, '[^ \t\n\r\f]+')) > i.max_parent_chunk_size""",
+}
