@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shardloom.llm.leakage import leaked_passages
 from shardloom.llm.mixing import mix_sources, reached_shares, sized_texts
 from shardloom.llm.neardup import NearDuplicates
+from shardloom.llm.residue import residue
 from shardloom.llm.splitting import split_oversized
 from shardloom.llm.vectors import most_similar
 from shardloom.sources.scratch import materialize
@@ -82,7 +83,17 @@ def p7_shares_plain(spark: SparkSession, folder: str) -> DataFrame:
     return reached_shares(mix_sources(sized, targets), sized, targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p5_found, p5_neighbours, p6_found, p6_passages, p7_mix, p7_shares, p7_shares_plain)}
+def p8_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents to exclude, with the reason."""
+    return residue(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with unfilled slots, or of filler, error page or script notice alone."""
+    return p8_reasons(spark, folder).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p5_found, p5_neighbours, p6_found, p6_passages, p7_mix, p7_shares, p7_shares_plain, p8_found, p8_reasons)}
 SQL = {
     "p3_found": r"""SELECT DISTINCT d.document_id FROM document_store d JOIN indices i ON d.index_name = i.index_name
 WHERE i.max_parent_chunk_size > 0 AND len(regexp_extract_all(d.content, '[^ \t\n\r\f]+')) > i.max_parent_chunk_size""",
