@@ -12,7 +12,6 @@ from shardloom.sources.tables import table
 
 ENTRY = C.ENTRY
 NOW = "2025-07-01 00:00:00"
-HOT = ("doc-meta", "idx:kb-main:stats")
 
 
 def _now():
@@ -50,9 +49,13 @@ def kv_clear_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def kv_get(spark: SparkSession, folder: str) -> DataFrame:
-    """One key's entry. The fold sees only its rows and the clears."""
-    wanted = (F.col("col") == HOT[0]) & ((F.col("key") == HOT[1]) | (F.col("op") == "clear"))
-    return C.get(C.replay(_log(spark, folder).where(wanted)), *HOT, _now()).select(*ENTRY, "val", "version")
+    """The entry that was put last, read by its key. The fold sees only that key's rows and the clears."""
+    log = _log(spark, folder)
+    last = log.where("op = 'put' AND key IS NOT NULL").agg(F.max(F.struct("seq", "col", "key")).alias("k")).first()["k"]
+    if last is None:
+        return C.replay(log).select(*ENTRY, "val", "version")
+    wanted = (F.col("col") == last["col"]) & ((F.col("key") == last["key"]) | (F.col("op") == "clear"))
+    return C.get(C.replay(log.where(wanted)), last["col"], last["key"], F.lit("1970-01-01").cast("timestamp")).select(*ENTRY, "val", "version")
 
 
 def kv_get_many(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,7 +175,7 @@ SQL = {
     "kv_replay": f"WITH {_CHANGES} SELECT pid, col, key, seq, version, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS created_at FROM state",
     "kv_put_fold": f"WITH {_A} SELECT pid, col, key, seq, op FROM ak",
     "kv_clear_fold": f"WITH {_A} SELECT pid, col, cleared AS seq FROM ax",
-    "kv_get": f"WITH {_CHANGES} SELECT pid, col, key, val, version FROM live WHERE col = '{HOT[0]}' AND key = '{HOT[1]}'",
+    "kv_get": f"WITH {_CHANGES} SELECT pid, col, key, val, version FROM state WHERE (col, key) = (SELECT (col, key) FROM kv_log WHERE op = 'put' AND key IS NOT NULL AND seq IS NOT NULL ORDER BY seq DESC, col DESC, key DESC LIMIT 1)",
     "kv_get_many": f"WITH {_CHANGES} SELECT pid, col, key, val FROM live SEMI JOIN {_named_sql('touch')} USING (pid, col, key)",
     "kv_exists": f"WITH {_CHANGES} SELECT n.pid, n.col, n.key, live.seq IS NOT NULL AS found FROM {_named_sql('touch', 'expire')} n LEFT JOIN live USING (pid, col, key)",
     "kv_put_many": f"WITH {_CHANGES}, n AS (SELECT pid, col, key, max(val) AS val FROM kv_log WHERE key IS NOT NULL AND op = 'PUT' GROUP BY ALL) SELECT pid, col, key, CASE WHEN n.pid IS NOT NULL THEN n.val ELSE state.val END AS val, coalesce(version, 0) + (n.pid IS NOT NULL)::INT AS version FROM state FULL JOIN n USING (pid, col, key)",
