@@ -134,7 +134,7 @@ SQL = {
     "membership_diff": """WITH k AS (SELECT user_id::VARCHAR AS address, CASE WHEN arg_max(event_type, (ts, event_id)) = 'error' THEN 'dead' ELSE 'active' END AS state FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), p AS (SELECT DISTINCT user_id::VARCHAR AS address, true AS there FROM events WHERE ts >= TIMESTAMP '2024-01-16')
 SELECT address, CASE WHEN state IS NULL THEN 'joined' WHEN there AND state = 'dead' THEN 'rejoined' ELSE 'left' END AS change FROM k FULL JOIN p USING (address) WHERE state IS NULL OR (there AND state = 'dead') OR (there IS NULL AND state <> 'dead')""",
     "dead_nodes": "SELECT user_id::VARCHAR AS address, epoch_us(max(ts)) AS last_us FROM events GROUP BY 1 HAVING epoch_us(max(ts)) + 86400000000 < epoch_us(TIMESTAMP '2024-01-30')",
-    "quorum_timeline": "WITH h AS (SELECT floor(epoch_us(ts) / 3600000000)::BIGINT AS "at", count(DISTINCT user_id) AS visible FROM events GROUP BY 1), r AS (SELECT *, max(visible) OVER (ORDER BY "at") AS expected FROM h) SELECT "at", visible, expected, expected <= 1 OR visible >= ceil(expected / 2) AS ok FROM r",
+    "quorum_timeline": 'WITH h AS (SELECT floor(epoch_us(ts) / 3600000000)::BIGINT AS "at", count(DISTINCT user_id) AS visible FROM events GROUP BY 1), r AS (SELECT *, max(visible) OVER (ORDER BY "at") AS expected FROM h) SELECT "at", visible, expected, expected <= 1 OR visible >= ceil(expected / 2) AS ok FROM r',
     "membership_sessions": "WITH e AS (SELECT epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (ORDER BY ts) AS l FROM events WHERE event_type IN ('signup', 'error')), g AS (SELECT t, sum(CASE WHEN l IS NULL OR t - l > 600000000 THEN 1 ELSE 0 END) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT min(t) AS start_us, max(t) + 600000000 AS end_us, count(*) AS changes FROM g GROUP BY s",
     "cluster_health": "SELECT CASE WHEN s_acctbal >= 0 THEN 'nodes_active' ELSE 'nodes_dead' END AS metric, count(*) AS n FROM supplier GROUP BY 1 UNION ALL SELECT 'events_' || event_type, count(*) FROM events GROUP BY 1",
     "task_route": f"WITH {_A} SELECT address AS owner, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'completed' END AS status, CASE WHEN o_orderstatus = 'P' THEN 'pending' END AS error, count(*) AS n, sum(CASE WHEN o_orderstatus <> 'P' THEN round_even(o_totalprice * 100, 0)::BIGINT END)::BIGINT AS cents FROM orders JOIN n ON i = (('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 271) % c GROUP BY ALL",
