@@ -123,8 +123,12 @@ def most_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int =
     """
     spark = vectors.sparkSession
     rows = usable(vectors, dim)
-    wanted = pivots or pivot_count(vectors.count())
-    sample = rows.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()  # bounded by MOST_PIVOTS
+    total = vectors.count()
+    wanted = pivots or pivot_count(total)
+    # the hash range holds some four times as many vectors as wanted, so that no task sends the driver more than its share
+    h = F.xxhash64("vec_id")
+    likely = rows.where(F.pmod(h, F.lit(1 << 30)) < min(1 << 30, math.ceil((1 << 30) * 4 * (wanted + 16) / max(total, 1))))
+    sample = likely.select("embedding").orderBy(h, "vec_id").limit(wanted).collect()  # bounded by MOST_PIVOTS
     schema = "query long, vec_id long, cosine double, rank int"
     if not sample:
         return spark.createDataFrame([], schema)
