@@ -37,13 +37,17 @@ def orphan_references(
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
     target_key = list(target_key or key)
-    found = targets.select(*[F.col(t).alias(f"_t{i}") for i, t in enumerate(target_key)])
+    prefix = "_t"
+    while any(c.startswith(prefix) for c in references.columns):
+        prefix += "_"
+    own = [f"{prefix}{i}" for i in range(len(key))]
+    found = targets.select(*[F.col(t).alias(o) for t, o in zip(target_key, own)])
     can_be_null = [i for i, k in enumerate(key) if nullable is None or k in nullable]
 
     def anti(rows: DataFrame, used: list[int]) -> DataFrame:
         # distinct targets: partial aggregation drops copies before the shuffle
-        keys = found.select(*[f"_t{i}" for i in used]).where(reduce(lambda a, b: a & b, [F.col(f"_t{i}").isNotNull() for i in used])).distinct()
-        return rows.join(keys, [F.col(key[i]) == F.col(f"_t{i}") for i in used], "left_anti")
+        keys = found.select(*[own[i] for i in used]).where(reduce(lambda a, b: a & b, [F.col(own[i]).isNotNull() for i in used])).distinct()
+        return rows.join(keys, [F.col(key[i]) == F.col(own[i]) for i in used], "left_anti")
 
     def masked(nulls: Sequence[int]) -> DataFrame:
         tests = [F.col(k).isNull() if i in nulls else F.col(k).isNotNull() for i, k in enumerate(key)]

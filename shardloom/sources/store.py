@@ -48,14 +48,16 @@ class Store:
         found = self._manifest(self.version() if version is None else version).get(name)
         if found is None:
             raise NotFound(f"no table {name}")
-        return self.spark.read.schema(StructType.fromJson(found["schema"])).parquet(*found["paths"]) if found["paths"] else self.spark.createDataFrame([], StructType.fromJson(found["schema"]))
+        schema = StructType.fromJson(found["schema"])
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*found["paths"])
+        return rows.select(schema.fieldNames())  # without the directory of the commit
 
     def commit(self, tables: dict[str, DataFrame], append: bool = False, partition_by: tuple[str, ...] = (), drop: tuple[str, ...] = ()) -> int:
         """Write the tables as the next version, in the place of their rows or after them; the other tables stay."""
         base = self.version()
         manifest = {k: v for k, v in self._manifest(base).items() if k not in drop}
         for name, df in tables.items():
-            path = f"{self.root}/{name}/{uuid.uuid4().hex}"
+            path = f"{self.root}/{name}/commit=c{uuid.uuid4().hex}"
             by = [c for c in partition_by if c in df.columns]
             (df.write.partitionBy(*by) if by else df.write).option("compression", "zstd").parquet(path)
             before = manifest.get(name, {}).get("paths", []) if append else []

@@ -33,10 +33,10 @@ def latest_by_key(log: DataFrame) -> DataFrame:
     return rows.groupBy("pid", "col", "key").agg(F.max(F.struct("seq", "op", "val")).alias("last"))
 
 
-def bursts(changes: DataFrame, gap: str = "10 seconds", late: str = "1 minute") -> DataFrame:
-    """Sessions of membership changes (ts timestamp), closed by the watermark."""
+def bursts(changes: DataFrame, by: str, gap: str = "10 seconds", late: str = "1 minute") -> DataFrame:
+    """Sessions of membership changes (ts timestamp) of each cluster `by`, closed by the watermark."""
     rows = changes.withWatermark("ts", late)
-    return rows.groupBy(F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("changes")).select("w.start", "w.end", "changes")
+    return rows.groupBy(by, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("changes")).select(by, "w.start", "w.end", "changes")
 
 
 def heartbeats(beats: DataFrame, timeout_s: int = 15, late: str = "1 minute") -> DataFrame:
