@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardloom.functions.text import bare, tokens
-
 DIM = 256
 
 
@@ -19,13 +17,14 @@ def features(df: DataFrame, text: Column, *keys: str, dim: int = DIM) -> DataFra
     A token's first 32 bits of MD5 name its bucket and sign. Buckets that cancel out are left out, so that a text
     without tokens, or whose tokens all cancel, has no rows.
     """
-    h = F.conv(F.substring(F.md5(F.lower(bare(F.col("token")))), 1, 8), 16, 10).cast("long")
-    found = df.select(*keys, F.explode(tokens(text)).alias("token")).select(*keys, h.alias("h"))
+    h = F.conv(F.substring(F.md5(F.lower("token")), 1, 8), 16, 10).cast("long")
+    found = df.select(*keys, F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\n\r\f]+"), 0)).alias("token")).select(*keys, h.alias("h"))
     bucket = (F.col("h") % dim).cast("int").alias("bucket")
     sign = F.when(F.floor(F.col("h") / dim) % 2 == 0, 1).otherwise(-1)
     weights = found.select(*keys, bucket, sign.alias("s")).groupBy(*keys, "bucket").agg(F.sum("s").alias("w")).where("w <> 0")
-    norms = weights.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w")).cast("double")).alias("norm"))
-    return weights.join(norms, list(keys)).select(*keys, "bucket", (F.col("w") / F.col("norm")).alias("weight"))
+    # a text has at most dim buckets, so the window's groups are small
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)).cast("double"))
+    return weights.select(*keys, "bucket", (F.col("w") / norm).alias("weight"))
 
 
 def model_embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]], prefix: str = "search_document: ") -> Callable[[Column], Column]:

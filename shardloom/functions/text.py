@@ -20,19 +20,24 @@ def bare(token: Column) -> Column:
 
 
 def chunk_count(n: Column, size: Column, overlap: Column) -> Column:
-    """How many chunks n tokens make: none of none, one up to the size, and no chunk of a tail alone."""
-    return F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / (size - overlap)) + 1).cast("int")
+    """How many chunks n tokens make: none of none, one up to the size, and no chunk of a tail alone.
+
+    Null for sizes and overlaps that chunks() doesn't take.
+    """
+    count = F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / (size - overlap)) + 1).cast("int")
+    return F.when((size > 0) & (overlap >= 0) & (overlap < size), count)
 
 
 def chunks(found: Column, size: Column, overlap: Column) -> Column:
     """Arrays of tokens: chunks of `size` that share `overlap` tokens with the one before.
 
     Sizes that are null or not above 0, and overlaps that are null, negative or not below the size, give null.
+    Pass `found` as a column, not as an expression: lambdas evaluate what they refer to for every element.
     """
     n = F.size(found)
     count = chunk_count(n, size, overlap)
     every = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(found, i * (size - overlap) + 1, size))
-    return F.when((size > 0) & (overlap >= 0) & (overlap < size), F.when(count > 0, every).otherwise(F.array().cast("array<array<string>>")))
+    return F.when(count > 0, every).when(count == 0, F.array().cast("array<array<string>>"))
 
 
 def chunk_text(found: Column) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from shardloom.errors import NotFound
 from shardloom.functions.placement import shard_of
-from shardloom.functions.text import chunk_text, chunks, tokens
-from shardloom.operators.numbering import numbered
+from shardloom.functions.text import chunk_count, chunk_text, chunks, tokens
+from shardloom.operators.numbering import running_sums
 
 KEY = ("index_name", "document_id")
 Embedder = Callable[[Column], Column]
@@ -36,15 +36,35 @@ def new_documents(documents: DataFrame, incoming: DataFrame) -> tuple[DataFrame,
     return rows.join(known, list(KEY), "left_anti"), rows.join(known, list(KEY), "left_semi")
 
 
-def cut(documents: DataFrame, indices: DataFrame) -> DataFrame:
-    """One row a child chunk: index_name, shard_number, document_id, chunk_index, parent_text, child_index, text."""
-    sizes = indices.select("index_name", "max_parent_chunk_size", "parent_chunk_overlap_size", "max_child_chunk_size", "child_chunk_overlap_size")
-    rows = documents.join(sizes, "index_name")
-    outer = chunks(tokens(F.col("content")), F.col("max_parent_chunk_size"), F.col("parent_chunk_overlap_size"))
-    rows = rows.select("*", F.posexplode(outer).alias("chunk_index", "_p"))
-    inner = chunks(F.col("_p"), F.col("max_child_chunk_size"), F.col("child_chunk_overlap_size"))
-    rows = rows.select("index_name", "shard_number", "document_id", "chunk_index", chunk_text(F.col("_p")).alias("parent_text"), F.posexplode(inner).alias("child_index", "_c"))
-    return rows.select("index_name", "shard_number", "document_id", "chunk_index", "parent_text", "child_index", chunk_text(F.col("_c")).alias("text"))
+_SIZES = ("max_parent_chunk_size", "parent_chunk_overlap_size", "max_child_chunk_size", "child_chunk_overlap_size")
+
+
+def counted(documents: DataFrame, indices: DataFrame) -> DataFrame:
+    """documents with the sizes of their index and the numbers of parent and child chunks, n_parents and n_children.
+
+    The numbers follow from that of tokens: every parent but the last is full.
+    """
+    rows = documents.join(indices.select("index_name", *_SIZES), "index_name")
+    size, lap, child, child_lap = (F.col(c) for c in _SIZES)
+    n = F.size(tokens(F.col("content")))
+    rows = rows.withColumn("_n", n).withColumn("n_parents", F.coalesce(chunk_count(F.col("_n"), size, lap), F.lit(0)))
+    k = F.col("n_parents")
+    rest = F.col("_n") - (k - 1) * (size - lap)
+    full = F.when(k > 1, (k - 1) * chunk_count(size, child, child_lap)).otherwise(0)
+    return rows.withColumn("n_children", F.when(k > 0, full + chunk_count(rest, child, child_lap)).otherwise(0)).drop("_n")
+
+
+def cut(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parents, children) of counted documents: a row a chunk, numbered within its document from 0 by `nth`."""
+    head = [c for c in documents.columns if c not in (*_SIZES, "content", "title")]
+    # tokens are a column of their own: inside a lambda they would be found again for every chunk
+    found = documents.withColumn("_t", tokens(F.col("content")))
+    rows = found.withColumn("_p", chunks(F.col("_t"), F.col("max_parent_chunk_size"), F.col("parent_chunk_overlap_size")))
+    parents = rows.select(*head, F.posexplode("_p").alias("chunk_index", "_q")).select(*head, "chunk_index", chunk_text(F.col("_q")).alias("content"))
+    inner = lambda p: chunks(p, F.col("max_child_chunk_size"), F.col("child_chunk_overlap_size"))
+    every = F.flatten(F.transform("_p", lambda p, i: F.transform(inner(p), lambda c, j: F.struct(i.alias("chunk_index"), j.alias("child_index"), chunk_text(c).alias("text")))))
+    children = rows.select(*head, F.posexplode(every).alias("nth", "_c")).select(*head, "nth", "_c.*")
+    return parents, children
 
 
 def ingest(documents: DataFrame, indices: DataFrame, incoming: DataFrame, parents_taken: DataFrame, children_taken: DataFrame, embed: Embedder | None = None) -> dict[str, DataFrame]:
@@ -55,16 +75,19 @@ def ingest(documents: DataFrame, indices: DataFrame, incoming: DataFrame, parent
     """
     fresh, conflicts = new_documents(documents, incoming)
     rows = placed(fresh, indices)
-    pieces = cut(rows, indices)
     shard = ("index_name", "shard_number")
-    most = lambda t: t.groupBy(*shard).agg(F.max("id").alias("_most"))
-    parents = pieces.where("child_index = 0").select(*shard, "document_id", "chunk_index", F.col("parent_text").alias("content"))
-    parents = numbered(parents, shard, ("document_id", "chunk_index"), "_i").join(most(parents_taken), list(shard), "left")
-    parents = parents.select(*shard, "document_id", "chunk_index", "content", (F.coalesce(F.col("_most") + 1, F.lit(0)) + F.col("_i")).alias("parent_chunk_id"))
-    children = numbered(pieces.drop("parent_text"), shard, ("document_id", "chunk_index", "child_index"), "_i").join(most(children_taken), list(shard), "left")
-    children = children.join(parents.select(*shard, "document_id", "chunk_index", "parent_chunk_id"), [*shard, "document_id", "chunk_index"])
+    full = counted(rows.select(*shard, "document_id", "content"), indices)
+    # ids are given to documents, not to chunks: a document's chunks follow one another
+    first = running_sums(full.select(*shard, "document_id", "n_parents", "n_children"), shard, ("document_id",), {"_first_parent": F.col("n_parents"), "_first_child": F.col("n_children")})
+    for name, taken in (("_first_parent", parents_taken), ("_first_child", children_taken)):
+        most = taken.groupBy(*shard).agg(F.max("id").alias("_most"))
+        first = first.join(most, list(shard), "left").withColumn(name, F.col(name) + F.coalesce(F.col("_most") + 1, F.lit(0))).drop("_most")
+    numbered_ = full.drop("n_parents", "n_children").join(first.select(*shard, "document_id", "_first_parent", "_first_child"), [*shard, "document_id"])
+    parents, children = cut(numbered_)
+    parent_id = (F.col("_first_parent") + F.col("chunk_index")).alias("parent_chunk_id")
+    parents = parents.select(*shard, "document_id", "chunk_index", "content", parent_id)
     embedding = embed(F.col("text")) if embed else F.lit(None).cast("array<float>")
-    children = children.select(*shard, "document_id", "parent_chunk_id", "child_index", "text", (F.coalesce(F.col("_most") + 1, F.lit(0)) + F.col("_i")).alias("child_chunk_id"), embedding.alias("embedding"))
+    children = children.select(*shard, "document_id", parent_id, "child_index", "text", (F.col("_first_child") + F.col("nth")).alias("child_chunk_id"), embedding.alias("embedding"))
     return {"parent_chunks": parents, "child_chunks": children, "documents": rows, "conflicts": conflicts}
 
 

@@ -9,7 +9,8 @@ from shardloom.functions.embed import DIM, features
 from shardloom.functions.placement import shard_of
 from shardloom.functions.text import bare, chunk_text, chunks, tokens
 from shardloom.operators import retrieval as R
-from shardloom.operators.numbering import numbered
+from shardloom.operators.documents import counted
+from shardloom.operators.numbering import running_sums
 from shardloom.sources.tables import table
 
 K = 10
@@ -91,8 +92,10 @@ def tokenize_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _parents(spark: SparkSession, folder: str) -> DataFrame:
-    cut = chunks(tokens(F.col("content")), F.col("max_parent_chunk_size"), F.col("parent_chunk_overlap_size"))
-    return _store(spark, folder).select("*", F.posexplode(cut).alias("chunk_index", "t"))
+    # tokens are a column of their own: inside a lambda they would be found again for every chunk
+    found = _store(spark, folder).withColumn("all", tokens(F.col("content"))).drop("content")
+    cut = chunks(F.col("all"), F.col("max_parent_chunk_size"), F.col("parent_chunk_overlap_size"))
+    return found.select("*", F.posexplode(cut).alias("chunk_index", "t")).drop("all")
 
 
 def chunk_parents(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,10 +112,11 @@ def chunk_children(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Ids for parent chunks: consecutive within a shard, after the ids that it has."""
-    made = _parents(spark, folder).select(*SHARD, "document_id", "chunk_index")
+    made = counted(_store(spark, folder).select(*SHARD, "document_id", "content"), table(spark, folder, "indices")).select(*SHARD, "document_id", "n_parents")
     taken = table(spark, folder, "parent_chunks").groupBy(*SHARD).agg(F.max("parent_chunk_id").alias("most"))
-    rows = numbered(made, SHARD, ("document_id", "chunk_index"), "n").join(taken, list(SHARD), "left")
-    return rows.select(*SHARD, "document_id", "chunk_index", (F.coalesce(F.col("most") + 1, F.lit(0)) + F.col("n")).alias("parent_chunk_id"))
+    rows = running_sums(made, SHARD, ("document_id",), {"n": F.col("n_parents")}).join(taken, list(SHARD), "left").where("n_parents > 0")
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n_parents") - 1)).alias("chunk_index"))
+    return each.select(*SHARD, "document_id", "chunk_index", (F.coalesce(F.col("most") + 1, F.lit(0)) + F.col("n") + F.col("chunk_index")).alias("parent_chunk_id"))
 
 
 _CUT = "[{t}[i * ({size} - {lap}) + 1 : i * ({size} - {lap}) + {size}] FOR i IN range(CASE WHEN len({t}) = 0 THEN 0 WHEN len({t}) <= {size} THEN 1 ELSE ceil((len({t}) - {size}) / ({size} - {lap})::DOUBLE)::BIGINT + 1 END)]"
@@ -139,7 +143,8 @@ def hash_embed(spark: SparkSession, folder: str) -> DataFrame:
 def retrieve_text(spark: SparkSession, folder: str) -> DataFrame:
     """The chain from text: place, chunk twice (64/8 and 16/4), hash, search by shard, best child a parent, 10 best."""
     docs = table(spark, folder, "documents", "doc_id", "text").withColumn("shard", shard_of(F.lit("docs"), F.col("doc_id").cast("string"), F.lit(4)))
-    parents = docs.select("shard", "doc_id", F.posexplode(chunks(tokens(F.col("text")), F.lit(64), F.lit(8))).alias("chunk_index", "t"))
+    found = docs.select("shard", "doc_id", tokens(F.col("text")).alias("all"))
+    parents = found.select("shard", "doc_id", F.posexplode(chunks(F.col("all"), F.lit(64), F.lit(8))).alias("chunk_index", "t"))
     kids = parents.select("shard", "doc_id", "chunk_index", F.posexplode(chunks(F.col("t"), F.lit(16), F.lit(4))).alias("child_index", "c"))
     key = ("shard", "doc_id", "chunk_index", "child_index")
     vectors = features(kids.select(*key, chunk_text(F.col("c")).alias("text")), F.col("text"), *key)
