@@ -90,7 +90,7 @@ def p8_reasons(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with unfilled slots, or of filler, error page or script notice alone."""
-    return p8_reasons(spark, folder).select("doc_id")
+    return p8_reasons(spark, folder).select("doc_id").distinct()
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p5_found, p5_neighbours, p6_found, p6_passages, p7_mix, p7_shares, p7_shares_plain, p8_found, p8_reasons)}
