@@ -124,6 +124,18 @@ def task_broadcast(spark: SparkSession, folder: str) -> DataFrame:
 _ACTIVE = "n AS (SELECT address, (row_number() OVER (ORDER BY address) - 1)::INT AS i, (count(*) OVER ())::INT AS c FROM (SELECT DISTINCT s_name AS address FROM supplier WHERE {}))"
 _P = "p AS (SELECT range::INT AS partition_id FROM range(271))"
 _A = _ACTIVE.format("s_acctbal >= 0")
+_LOCKS = """
+e AS (SELECT event_id AS seq, (user_id % 10)::VARCHAR AS key, CASE WHEN event_type IN ('signup', 'view') THEN 'acquire' WHEN event_type = 'click' THEN 'release' ELSE 'force' END AS op, ((user_id // 10) % 3)::VARCHAR AS owner, epoch_us(ts) AS tm, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS rn FROM events WHERE event_type <> 'purchase'),
+t AS (
+ SELECT DISTINCT key, 0::BIGINT AS rn, NULL::BIGINT AS seq, NULL::VARCHAR AS op, NULL::VARCHAR AS owner, NULL::VARCHAR AS outcome, NULL::VARCHAR AS holder, NULL::BIGINT AS since, NULL::BIGINT AS g, NULL::BIGINT AS tm FROM e
+ UNION ALL
+ SELECT key, rn, seq, op, owner, outcome, CASE WHEN outcome IN ('granted', 'refreshed') THEN owner WHEN outcome IN ('denied', 'mismatch') THEN held END, CASE WHEN outcome IN ('granted', 'refreshed') THEN tm WHEN outcome IN ('denied', 'mismatch') THEN since END,
+  CASE WHEN outcome = 'granted' THEN seq WHEN outcome IN ('refreshed', 'denied', 'mismatch') THEN g END, tm
+ FROM (SELECT *, CASE op WHEN 'acquire' THEN CASE WHEN held IS NULL THEN 'granted' WHEN held = owner THEN 'refreshed' ELSE 'denied' END WHEN 'release' THEN CASE WHEN held IS NULL THEN 'free' WHEN held = owner THEN 'released' ELSE 'mismatch' END ELSE CASE WHEN held IS NULL THEN 'none' ELSE 'forced' END END AS outcome
+  FROM (SELECT e.*, CASE WHEN e.tm < t.since + 3600000000 THEN t.holder END AS held, t.since, t.g FROM t JOIN e ON e.key = t.key AND e.rn = t.rn + 1))),
+n AS (SELECT seq AS g, row_number() OVER (ORDER BY seq) AS token FROM t WHERE outcome = 'granted'),
+l AS (SELECT t.*, token FROM t LEFT JOIN n USING (g) WHERE rn > 0)
+"""
 QUERIES = {f.__name__: f for f in (rebalance_assign, rebalance_diff, partition_lookup, coordinator, shard_nodes, membership_diff, dead_nodes, quorum_timeline, membership_sessions, cluster_health, lock_timeline, locks_asof, task_route, task_broadcast)}
 SQL = {
     "rebalance_assign": f"WITH {_A}, {_P} SELECT partition_id, o.address AS owner, b1.address || ',' || b2.address AS backups FROM p JOIN n o ON o.i = partition_id % o.c JOIN n b1 ON b1.i = (partition_id + 1) % b1.c JOIN n b2 ON b2.i = (partition_id + 2) % b2.c",
@@ -137,6 +149,8 @@ SELECT address, CASE WHEN state IS NULL THEN 'joined' WHEN there AND state = 'de
     "quorum_timeline": 'WITH h AS (SELECT floor(epoch_us(ts) / 3600000000)::BIGINT AS "at", count(DISTINCT user_id) AS visible FROM events GROUP BY 1), r AS (SELECT *, max(visible) OVER (ORDER BY "at") AS expected FROM h) SELECT "at", visible, expected, expected <= 1 OR visible >= ceil(expected / 2) AS ok FROM r',
     "membership_sessions": "WITH e AS (SELECT epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (ORDER BY ts) AS l FROM events WHERE event_type IN ('signup', 'error')), g AS (SELECT t, sum(CASE WHEN l IS NULL OR t - l > 600000000 THEN 1 ELSE 0 END) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT min(t) AS start_us, max(t) + 600000000 AS end_us, count(*) AS changes FROM g GROUP BY s",
     "cluster_health": "SELECT CASE WHEN s_acctbal >= 0 THEN 'nodes_active' ELSE 'nodes_dead' END AS metric, count(*) AS n FROM supplier GROUP BY 1 UNION ALL SELECT 'events_' || event_type, count(*) FROM events GROUP BY 1",
+    "lock_timeline": f"WITH RECURSIVE {_LOCKS} SELECT seq, key, op, owner, outcome, holder, token FROM l",
+    "locks_asof": f"WITH RECURSIVE {_LOCKS} SELECT key, holder, token FROM (SELECT * FROM l WHERE tm <= epoch_us(TIMESTAMP '2024-01-20 12:00:00') QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE holder IS NOT NULL AND since + 3600000000 > epoch_us(TIMESTAMP '2024-01-20 12:00:00')",
     "task_route": f"WITH {_A} SELECT address AS owner, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'completed' END AS status, CASE WHEN o_orderstatus = 'P' THEN 'pending' END AS error, count(*) AS n, sum(CASE WHEN o_orderstatus <> 'P' THEN round_even(o_totalprice * 100, 0)::BIGINT END)::BIGINT AS cents FROM orders JOIN n ON i = (('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 271) % c GROUP BY ALL",
     "task_broadcast": f"""WITH {_A}, {_P} SELECT DISTINCT '' AS routing_key, address AS owner, 'completed' AS status, '{{"pong": "ping"}}' AS response, NULL::VARCHAR AS error FROM p JOIN n ON i = partition_id % c""",
 }
