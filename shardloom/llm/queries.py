@@ -94,7 +94,23 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p5_found, p5_neighbours, p6_found, p6_passages, p7_mix, p7_shares, p7_shares_plain, p8_found, p8_reasons)}
+_WORDS = r"list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 SQL = {
+    "p1_found": f"""WITH d AS (SELECT DISTINCT document_id, {_WORDS.format('title')} AS t, {_WORDS.format('content')} AS c FROM document_store),
+w AS (SELECT document_id, list_concat(t, c) AS w FROM d WHERE len(c) >= 20),
+s AS (SELECT DISTINCT document_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS g FROM w),
+n AS (SELECT document_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.document_id AS document_id_a, b.document_id AS document_id_b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.document_id < b.document_id GROUP BY ALL)
+SELECT document_id_a, document_id_b FROM p JOIN n x ON x.document_id = document_id_a JOIN n y ON y.document_id = document_id_b WHERE 2 * o >= x.n + y.n - o""",
     "p3_found": r"""SELECT DISTINCT d.document_id FROM document_store d JOIN indices i ON d.index_name = i.index_name
 WHERE i.max_parent_chunk_size > 0 AND len(regexp_extract_all(d.content, '[^ \t\n\r\f]+')) > i.max_parent_chunk_size""",
+    "p5_found": """WITH v AS (SELECT vec_id, any_value(embedding)::DOUBLE[] AS e FROM child_chunks WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+c AS (SELECT a.vec_id AS q, b.vec_id AS o, list_cosine_similarity(a.e, b.e) AS s FROM knn_probes k JOIN v a ON a.vec_id = k.vec_id JOIN v b ON b.vec_id <> a.vec_id),
+t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(s, 12) DESC, o) <= 10)
+SELECT DISTINCT least(q, o) AS vec_id_a, greatest(q, o) AS vec_id_b FROM t""",
+    "p6_found": f"""WITH i AS (SELECT item_id, {_WORDS.format('text')} AS w FROM eval_items WHERE item_id IS NOT NULL),
+g AS (SELECT DISTINCT item_id, least(12, len(w)) AS n, unnest([array_to_string(w[j : j + least(12, len(w)) - 1], ' ') FOR j IN range(1, len(w) - least(12, len(w)) + 2)]) AS g FROM i WHERE len(w) > 0),
+d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+x AS (SELECT DISTINCT doc_id, n, unnest([array_to_string(w[j : j + n - 1], ' ') FOR j IN range(1, len(w) - n + 2)]) AS g FROM d, (SELECT DISTINCT n FROM g))
+SELECT DISTINCT doc_id, item_id FROM x JOIN g USING (n, g)""",
 }
