@@ -120,3 +120,22 @@ def compact(log: DataFrame) -> DataFrame:
 def checked(log: DataFrame, payload: str, crc: str) -> DataFrame:
     """Records whose checksum holds; damaged records, and those without payload or checksum, are skipped."""
     return log.where(F.crc32(F.col(payload).cast("binary")) == F.col(crc))
+
+
+def registry(requests: DataFrame) -> DataFrame:
+    """name, default_ttl, max_entries of each collection: the settings of the first request (seq) for it win.
+
+    requests: seq, name, default_ttl, max_entries. Requests without name or seq are ignored.
+    """
+    first = F.min(F.struct("seq", "default_ttl", "max_entries")).alias("first")
+    return requests.where("name IS NOT NULL AND seq IS NOT NULL").groupBy("name").agg(first).select("name", "first.default_ttl", "first.max_entries")
+
+
+def drop_collections(state: DataFrame, names: DataFrame) -> DataFrame:
+    """state without the collections (col), over all partitions."""
+    return state.join(names.select("col").distinct(), "col", "left_anti")
+
+
+def import_partitions(state: DataFrame, rows: DataFrame) -> DataFrame:
+    """state with the partitions (pid) that rows hold replaced by rows; versions, times and expiry are kept as they are."""
+    return state.join(rows.select("pid").distinct(), "pid", "left_anti").unionByName(rows.select(state.columns))

@@ -78,3 +78,23 @@ def test_digest_ignores_order(spark):
     a = spark.createDataFrame([(1, "x"), (1, "y"), (2, None)], "pid int, v string")
     one, two = C.digest(a, ("pid",), ("v",)), C.digest(a.orderBy(F.desc("v")), ("pid",), ("v",))
     assert sorted(one.collect()) == sorted(two.collect())
+
+
+def test_collections_and_partitions(spark):
+    asked = spark.createDataFrame([(2, "a", 9.0, 9), (1, "a", 5.0, None), (3, "b", None, 2), (4, None, 1.0, 1)], "seq long, name string, default_ttl double, max_entries int")
+    assert {tuple(r) for r in C.registry(asked).collect()} == {("a", 5.0, None), ("b", None, 2)}
+    state = C.replay(log(spark, (1, "put", "a", "1", 5.0), (2, "put", "b", "2", None)))
+    assert C.drop_collections(state, spark.createDataFrame([("c",)], "col string")).count() == 0
+    other = state.where("key = 'a'").withColumn("version", F.lit(7).cast("long"))
+    got = C.import_partitions(state, other).collect()
+    assert [(r.key, r.version, r.ttl) for r in got] == [("a", 7, 5.0)]
+
+
+def test_config():
+    from shardloom.config import EngineConfig
+
+    c = EngineConfig.from_dict({"root": "/x", "nodes": ["b", "a"]})
+    assert c.nodes == ("b", "a") and c.cache_partitions == 271
+    for bad in ({"root": ""}, {"root": "/x", "backups": -1}, {"root": "/x", "other": 1}):
+        with pytest.raises(InvalidArgument):
+            EngineConfig.from_dict(bad)
