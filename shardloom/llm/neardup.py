@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from shardloom.llm.lexing import WordHashes, mix, shingle_hashes, words
 from shardloom.sources.scratch import materialize
 
-GROUPS = 16
+GROUPS = 8
 #: Records in one block of the index; beyond it blocks are paired, so that a task's memory stays bounded.
-BLOCK_RECORDS = 400_000
+BLOCK_RECORDS = 150_000
 #: Records whose words a worker holds at once.
 SLICE_ROWS = 500
 _FINGERPRINT = "document_id string, loaded_at timestamp, usable boolean, cid long, grp int, block int, payload binary"
