@@ -1,10 +1,11 @@
 """Mixing sources to target weights by pivotal rounding over a reduction tree.
 
 A text of source s is wanted c = min(max_repeats, wanted size of s / size of s) times on average. It gets floor(c)
-copies and one more with the probability of the rest. The rests are rounded dependently: two of them meet, and one
-hands its mass to the other at random, in such a way that each keeps its expectation, until one is 0 or 1. Within a leaf
-of the tree texts meet in order of size, so that the reached size stays near the wanted one. A leaf ends with at most
-one text undecided; these meet again in the next level of the tree. The last one of a source is drawn by its rest.
+copies and one more with the probability of the rest. The rests are rounded dependently: two texts meet, and one hands
+its mass (probability times size) to the other at random, in such a way that each keeps its expectation, until one is
+out or in. Texts too large for such steps meet the pool of all smaller ones first. The mass of a source never changes, so that its reached size is the wanted one but for the last text. A leaf
+of the tree ends with at most one text undecided; these meet again in the next level of the tree. The last one of a
+source is drawn by its rest.
 """
 
 from __future__ import annotations
@@ -61,42 +62,74 @@ def sized_texts(documents: DataFrame, vocabulary: str | None = VOCABULARY) -> Da
     return head.mapInArrow(_count_tokens(vocabulary), "doc_id long, source string, h1 long, h2 long, n_tokens long")
 
 
-def pivot(p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
-    """Rounds the probabilities in order; returns them and the place of the one left undecided, or -1."""
+def pivot(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
+    """Rounds the probabilities in order; returns them and the place of the one left undecided, or -1.
+
+    The mass of a text is its probability times its size. Of two undecided texts one hands mass to the other until one
+    of them is 0 or whole; which way is drawn so that both keep their expectation. The sum of masses never changes.
+    """
     p = p.astype(float).copy()
     draws = rng.random(len(p))
     eps, hold = 1e-9, -1
     for i in range(len(p)):
-        p[i] = round(p[i]) if abs(p[i] - round(p[i])) < eps else p[i]
-        if p[i] in (0.0, 1.0):
+        if min(p[i], 1 - p[i]) < eps:
+            p[i] = round(p[i])
             continue
         if hold < 0:
             hold = i
             continue
-        a, b = p[hold], p[i]
-        if a + b < 1:
-            if draws[i] * (a + b) < a:
-                p[hold], p[i] = a + b, 0.0
+        na, nb = size[hold], size[i]
+        ma, mb = p[hold] * na, p[i] * nb
+        up, down = min(na - ma, mb), min(ma, nb - mb)
+        step = up if draws[i] * (up + down) < down else -down
+        p[hold], p[i] = (ma + step) / na, (mb - step) / nb
+        open_ = []
+        for j in (hold, i):
+            if min(p[j], 1 - p[j]) < eps:
+                p[j] = round(p[j])
             else:
-                p[hold], p[i], hold = 0.0, a + b, i
-        else:
-            if draws[i] * (2 - a - b) < 1 - b:
-                p[hold], p[i], hold = 1.0, a + b - 1, i
-            else:
-                p[hold], p[i] = a + b - 1, 1.0
-        if min(p[hold], 1 - p[hold]) < eps:
-            p[hold], hold = round(p[hold]), -1
+                open_.append(j)
+        hold = open_[-1] if open_ else -1
     return p, hold
 
 
+def settle_large(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Decides the texts at the head, sorted by falling size, that pairwise steps among the smaller ones can't.
+
+    All p must be equal. Such a text's partner is the pool of all smaller texts: it goes in with its probability, and the
+    pool takes or gives the difference in mass evenly, which keeps the pool's probabilities equal and in expectation.
+    It ends where the rest can resolve a text by itself, or where the pool is too small to answer for it.
+    """
+    p = p.astype(float).copy()
+    if len(p) < 3 or not 0 < p[0] < 1:
+        return p
+    size = size.astype(float)
+    below = np.cumsum(size[::-1])[::-1]
+    squares = np.cumsum((size * size)[::-1])[::-1]
+    now = p[0]
+    for i in range(len(p) - 1):
+        pool = below[i + 1]
+        if size[i] ** 2 < 0.02 * squares[i + 1]:
+            break
+        fewer, more = now - size[i] * (1 - now) / pool, now + size[i] * now / pool
+        if fewer <= 0 or more >= 1:
+            break
+        p[i] = float(rng.random() < now)
+        now = fewer if p[i] else more
+        p[i + 1 :] = now
+    return p
+
+
 _UNIT = "mix_name string, source string, node long, doc_id long, n_tokens long, base int, rest double, open boolean"
 
 
-def _level(seed: int, last: bool):
+def _level(seed: int, leaf: bool, last: bool):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_tokens", "doc_id"], kind="stable").reset_index(drop=True)
+        # large texts first: what is left undecided is then a small one
+        rows = rows.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng(xxhash.xxh64_intdigest(repr(key), seed))
-        rest, hold = pivot(rows["rest"].to_numpy(), rng)
+        rest, size = rows["rest"].to_numpy(), rows["n_tokens"].to_numpy()
+        rest, hold = pivot(settle_large(rest, size, rng) if leaf else rest, size, rng)
         if last and hold >= 0:
             rest[hold], hold = float(rng.random() < rest[hold]), -1
         return rows.assign(rest=rest, open=np.arange(len(rows)) == hold)
@@ -129,7 +162,7 @@ def mix_sources(sized: DataFrame, targets: DataFrame, seed: int = 17, leaf_texts
     done = None
     for depth in range(1 + math.ceil(math.log(most, fan) - 1e-9) if most > 1 else 1):
         last = fan**depth >= most
-        rounded = materialize(units.groupBy("mix_name", "source", "node").applyInPandas(_level(seed + depth, last), _UNIT), "mix-level")
+        rounded = materialize(units.groupBy("mix_name", "source", "node").applyInPandas(_level(seed + depth, depth == 0, last), _UNIT), "mix-level")
         closed = rounded.where("NOT open")
         done = closed if done is None else done.unionByName(closed)
         units = rounded.where("open").withColumn("node", F.floor(F.col("node") / fan).cast("long"))
