@@ -147,14 +147,14 @@ def most_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int =
     asked = named.join(queries.select(F.col("vec_id").alias("query")).distinct(), "query", "left_semi").dropDuplicates(["query"])
     asks = asked.select("query", F.col("places").alias("order"), in_files(read)).select(F.col("f.file").alias("ask_file"), "query", "order")
 
-    sizes = posts.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select("file", F.ceil(F.col("n") / file_rows).cast("int").alias("parts"))
-    split = {r["file"]: r["parts"] for r in sizes.where("parts > 1").collect()}  # at most a row a pivot
-    known = F.create_map(*[F.lit(x) for kv in split.items() for x in kv]) if split else None
-    parts = lambda file: F.coalesce(known[F.col(file)], F.lit(1)) if split else F.lit(1)
+    sizes = posts.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / file_rows).cast("int").alias("parts"))
+    sizes = materialize(sizes, "files")  # a row a pivot at most; Catalyst sees how small it is
+    split = not sizes.where("parts > 1").isEmpty()
     few = Window.partitionBy("file", "h").orderBy("vec_id")
     posts = posts.dropDuplicates(["file", "vec_id"]).withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= k + 1) if split else posts
-    posts = posts.select("file", F.pmod(F.xxhash64("vec_id"), parts("file")).cast("int").alias("part"), "vec_id", "places")
-    asks = asks.select("ask_file", F.explode(F.sequence(F.lit(0), parts("ask_file") - 1)).alias("ask_part"), "query", "order")
+    posts = posts.join(sizes, "file").select("file", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "places")
+    parts = sizes.select(F.col("file").alias("ask_file"), F.col("parts").alias("ask_parts"))
+    asks = asks.join(parts, "ask_file").select("ask_file", F.explode(F.sequence(F.lit(0), F.col("ask_parts") - 1)).alias("ask_part"), "query", "order")
     found = posts.groupBy("file", "part").cogroup(asks.groupBy("ask_file", "ask_part")).applyInPandas(_search(order, posted, read, rerank, len(p)), "query long, vec_id long, distance long")
     best = Window.partitionBy("query").orderBy("distance", "vec_id")
     kept = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= rerank).select("query", "vec_id")
