@@ -61,7 +61,7 @@ def _orders(pivots: np.ndarray, dim: int, order: int):
     return run
 
 
-def _search(order: int, posted: int, read: int, rerank: int, pivots: int):
+def _search(posted: int, rerank: int, pivots: int):
     def run(key: tuple, posts: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query": [], "vec_id": [], "distance": []}).astype("int64")
         if not len(posts) or not len(asks):
@@ -126,9 +126,12 @@ def most_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int =
     total = vectors.count()
     wanted = pivots or pivot_count(total)
     # the hash range holds some four times as many vectors as wanted, so that no task sends the driver more than its share
-    h = F.xxhash64("vec_id")
-    likely = rows.where(F.pmod(h, F.lit(1 << 30)) < min(1 << 30, math.ceil((1 << 30) * 4 * (wanted + 16) / max(total, 1))))
-    sample = likely.select("embedding").orderBy(h, "vec_id").limit(wanted).collect()  # bounded by MOST_PIVOTS
+    h, whole = F.xxhash64("vec_id"), 1 << 30
+    part = min(whole, math.ceil(whole * 4 * (wanted + 16) / max(total, 1)))
+    draw = lambda df: df.select("embedding").orderBy(h, "vec_id").limit(wanted).collect()  # noqa: E731 - bounded by MOST_PIVOTS
+    sample = draw(rows.where(F.pmod(h, F.lit(whole)) < part))
+    if len(sample) < wanted and part < whole:  # few rows are usable
+        sample = draw(rows)
     schema = "query long, vec_id long, cosine double, rank int"
     if not sample:
         return spark.createDataFrame([], schema)
@@ -155,7 +158,7 @@ def most_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int =
     posts = posts.join(sizes, "file").select("file", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "places")
     parts = sizes.select(F.col("file").alias("ask_file"), F.col("parts").alias("ask_parts"))
     asks = asks.join(parts, "ask_file").select("ask_file", F.explode(F.sequence(F.lit(0), F.col("ask_parts") - 1)).alias("ask_part"), "query", "order")
-    found = posts.groupBy("file", "part").cogroup(asks.groupBy("ask_file", "ask_part")).applyInPandas(_search(order, posted, read, rerank, len(p)), "query long, vec_id long, distance long")
+    found = posts.groupBy("file", "part").cogroup(asks.groupBy("ask_file", "ask_part")).applyInPandas(_search(posted, rerank, len(p)), "query long, vec_id long, distance long")
     best = Window.partitionBy("query").orderBy("distance", "vec_id")
     kept = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= rerank).select("query", "vec_id")
     kept = materialize(kept, "candidates")

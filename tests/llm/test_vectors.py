@@ -78,3 +78,10 @@ def test_unusable_and_empty(spark):
 
 def test_pivots_are_bounded():
     assert pivot_count(0) == 64 and pivot_count(438_000) == 2048 and pivot_count(10**12) == 8192
+
+
+def test_few_usable_among_many(spark):
+    bad = spark.range(3000).selectExpr("id AS vec_id", "CAST(array() AS array<float>) AS embedding")
+    good = spark.createDataFrame([(5001, [1.0, 0.0]), (5002, [0.9, 0.1]), (5003, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    found = most_similar(bad.unionByName(good), good.select("vec_id"), k=1, dim=2)
+    assert {(r["query"], r.vec_id) for r in found.collect()} == {(5001, 5002), (5002, 5001), (5003, 5002)}
