@@ -1,10 +1,14 @@
-"""Most similar vectors by a permutation index.
+"""Most similar vectors: a permutation index for a first answer, and a scan of all vectors that makes it exact.
 
 A vector is represented by the order of its nearest pivots. It is posted, with that order, in the inverted files of its
 first `posted` pivots. A query reads the files of its first `read` pivots, ranks what it finds by the footrule distance
 of the two orders (a pivot missing in one order stands at its end), keeps the best `rerank`, and these are ranked again
 by the exact cosine. A vector found in several files is judged in the first of them that the query reads.
 
+The k-th cosine found so is a floor: no vector below it is among the k nearest. The scan meets blocks of vectors with
+blocks of queries, keeps what reaches the floor of its query, and ranks that by the exact cosine. So the answer is
+exact whatever the index misses; a poor floor only lets more through. The scan takes vectors times queries.
+
 The pivots are a bounded sample (at most `MOST_PIVOTS` vectors, chosen by hash); their number grows with the square root
 of the collection, so that files grow no faster than that. Every vector is indexed. Files longer than `FILE_ROWS` are
 split into parts that are searched by separate tasks; of equal vectors a file keeps the k + 1 with the smallest ids,
@@ -30,6 +34,12 @@ ORDER = 24
 POSTED = 5
 READ = 4
 RERANK = 50
+#: Most vectors and most queries of one task of the scan, and the cells of the matrix that it multiplies at once.
+BLOCK_ROWS = 200_000
+ASK_ROWS = 200_000
+CELLS = 4_000_000
+#: What single precision may lose of a cosine, with room to spare.
+SLACK = 1e-5
 
 
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
@@ -39,13 +49,17 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & (F.size(e) == dim) & ~bad & F.exists(e, lambda x: x != 0)).select("vec_id", "embedding")
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float32)
     big = np.abs(x).max(axis=1, keepdims=True)
     x = x / big  # so that squares neither vanish nor overflow
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return _unit(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+
+
 def _orders(pivots: np.ndarray, dim: int, order: int):
     """Rows vec_id, h (hash of the vector), pivots (int16, nearest first)."""
 
@@ -97,13 +111,65 @@ def _search(posted: int, rerank: int, pivots: int):
     return run
 
 
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosine of each row of x with the same row of y, in double precision."""
+    x, y = (m.astype(np.float64) for m in (x, y))
+    x, y = (m / np.abs(m).max(axis=1, keepdims=True) for m in (x, y))
+    return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+
+
 def _cosine(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64) for i in (2, 3))
-            x, y = (m / np.abs(m).max(axis=1, keepdims=True) for m in (x, y))
-            c = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c, pa.float64())], ["query", "vec_id", "cosine"])
+            x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosines(x, y), pa.float64())], ["query", "vec_id", "cosine"])
+
+    return run
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the scores that may be among the best of k different ids."""
+    order = np.argsort(-scores, kind="stable")
+    _, first = np.unique(ids[order], return_index=True)
+    if len(first) <= k:
+        return order
+    return order[scores[order] >= scores[order[np.sort(first)[k - 1]]] - SLACK]
+
+
+def _scan(k: int, dim: int):
+    """Of a block of vectors and a block of queries, the pairs that reach the floor of the query; more than k only by ties."""
+
+    def run(_: tuple, vectors: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query": [], "vec_id": [], "cosine": []}).astype({"query": "int64", "vec_id": "int64", "cosine": "float64"})
+        if not len(vectors) or not len(asks):
+            return none
+        # of equal vectors the k + 1 with the smallest ids decide every answer; all rows of an id are in this block
+        vectors = vectors.drop_duplicates(["h", "vec_id"]).sort_values("vec_id", kind="stable")
+        vectors = vectors[vectors.groupby("h").cumcount() <= k]
+        ids, x = vectors["vec_id"].to_numpy(), np.concatenate(vectors["embedding"].to_numpy()).reshape(-1, dim)
+        queries, y = asks["query"].to_numpy(), np.concatenate(asks["asked"].to_numpy()).reshape(-1, dim)
+        floor = (asks["floor"].fillna(-2.0).to_numpy(np.float64) - SLACK).astype(np.float32)
+        u, v = _unit(x).T, _unit(y)
+        step = max(1, CELLS // len(ids))
+        out = []
+        for i in range(0, len(queries), step):
+            s = v[i : i + step] @ u
+            q, j = np.divmod(np.flatnonzero(s >= floor[i : i + step, None]), len(ids))
+            other = ids[j] != queries[i + q]
+            q, j = q[other], j[other]
+            ends = np.searchsorted(q, np.arange(len(s) + 1))
+            for a in np.flatnonzero(np.diff(ends) > 2 * k):
+                mine = slice(ends[a], ends[a + 1])
+                keep = np.zeros(ends[a + 1] - ends[a], bool)
+                keep[_best(s[a, j[mine]], ids[j[mine]], k)] = True
+                q[mine][~keep] = -1
+            j, q = j[q >= 0], q[q >= 0] + i
+            if len(q):
+                out.append((queries[q], ids[j], cosines(y[q], x[j])))
+        if not out:
+            return none
+        a, b, c = (np.concatenate(z) for z in zip(*out))
+        return pd.DataFrame({"query": a, "vec_id": b, "cosine": c})
 
     return run
 
@@ -116,10 +182,11 @@ def pivot_count(rows: int) -> int:
 def most_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64, pivots: int | None = None, order: int = ORDER, posted: int = POSTED, read: int = READ, rerank: int = RERANK, file_rows: int = FILE_ROWS) -> DataFrame:
     """query, vec_id, cosine, rank: for each vec_id of `queries` its k most similar other vectors of `vectors`.
 
-    vectors: vec_id, embedding. Ties of the cosine go to the smaller vec_id. Rows that repeat a vec_id count once.
+    vectors: vec_id, embedding. Ties of the cosine go to the smaller vec_id. Rows that repeat a vec_id count once, by
+    the most similar of their vectors.
     Vectors that are null, of another length than dim, all zero or not finite take no part, as queries neither; a query
     whose id has no vector has no rows. Fewer than k other vectors give fewer rows, an empty table none.
-    Approximate: see the README for the measured recall. The cosine itself is exact, in double precision.
+    Exact: pivots, order, posted, read and rerank only decide how close the floors of the scan are.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, dim)
@@ -168,7 +235,21 @@ def most_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int =
     pairs = kept.join(one, "query").join(rows, "vec_id").select("query", "vec_id", "asked", "embedding")
     scored = pairs.mapInArrow(_cosine(dim), "query long, vec_id long, cosine double").dropDuplicates(["query", "vec_id"])
     top = Window.partitionBy("query").orderBy(F.desc("cosine"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    floors = scored.withColumn("rank", F.row_number().over(top)).where(F.col("rank") == k).select("query", F.col("cosine").alias("floor"))
+
+    # every query scans: also those that the index found nothing for
+    wanted_ids = queries.select(F.col("vec_id").alias("query")).distinct()
+    asks = other.join(wanted_ids, "query", "left_semi").dropDuplicates(["query"]).join(floors, "query", "left")
+    asks = materialize(asks, "floors")
+    blocks = max(math.ceil(total / BLOCK_ROWS), min(math.ceil(total / file_rows), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    shares = max(1, math.ceil(asks.count() / ASK_ROWS))
+    block_of, share_of = (F.pmod(F.xxhash64(c), F.lit(n)).cast("int") for c, n in (("vec_id", blocks), ("query", shares)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = hashed.select(block_of.alias("block"), each(shares).alias("share"), "vec_id", "h", "embedding")
+    right = asks.select(each(blocks).alias("ask_block"), share_of.alias("ask_share"), "query", "asked", "floor")
+    met = left.groupBy("block", "share").cogroup(right.groupBy("ask_block", "ask_share")).applyInPandas(_scan(k, dim), "query long, vec_id long, cosine double")
+    met = met.groupBy("query", "vec_id").agg(F.max("cosine").alias("cosine"))
+    return met.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
 
 
 def _int16(column: str, i: int):

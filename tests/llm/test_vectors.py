@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow.dataset as ds
 
-from shardloom.llm.queries import p5_found
+from shardloom.llm.queries import p5_found, p5_neighbours
 from shardloom.llm.vectors import most_similar, pivot_count
 
 SCHEMA = "vec_id long, embedding array<float>, h int, cosine string"
@@ -54,6 +54,35 @@ def test_recall_on_the_tables(spark, folder):
     assert len(want & got) >= 0.9 * len(want)
 
 
+def test_neighbours_on_the_tables_are_exact(spark):
+    """Ordinary vectors, whose neighbours are far: all of the 10 nearest of every vec_id % 100 = 0."""
+    folder = "/root/testdata/sf0.01"
+    t = ds.dataset(f"{folder}/child_chunks.parquet").to_table(columns=["vec_id", "embedding"]).to_pydict()
+    rows = list(dict(zip(t["vec_id"], t["embedding"])).items())
+    want = exact(rows, [i for i, _ in rows if i is not None and i % 100 == 0], 10, 64)
+    got = {}
+    for r in p5_neighbours(spark, folder).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r.vec_id))
+    assert want and {q: [v for _, v in sorted(found)] for q, found in got.items()} == want
+
+
+def test_scan_in_blocks_is_exact(spark, monkeypatch):
+    """No structure at all, many blocks and shares, and floors from an index that hardly finds anything."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(a)) for a in rng.normal(size=16)]) for i in range(700)]
+    rows += [(700 + i, rows[3][1]) for i in range(60)]
+    for name, value in (("BLOCK_ROWS", 90), ("ASK_ROWS", 20), ("CELLS", 500)):
+        monkeypatch.setattr(f"shardloom.llm.vectors.{name}", value)
+    queries = list(range(0, 760, 15)) + [3]
+    ask = spark.createDataFrame([(q,) for q in queries], "vec_id long")
+    want = exact(rows, queries, 7, 16)
+    for how in ({}, {"read": 1, "posted": 1, "rerank": 3, "pivots": 300}):
+        got = {}
+        for r in most_similar(frame(spark, rows), ask, k=7, dim=16, **how).collect():
+            got.setdefault(r["query"], []).append((r["rank"], r.vec_id))
+        assert {q: [v for _, v in sorted(found)] for q, found in got.items()} == want
+
+
 def test_split_files_and_copies(spark):
     """A third of all vectors are equal; their files are split, and ties go to the smaller id."""
     rows = clustered(600, 16) + [(1000 + i, [1.0] * 16) for i in range(300)]
