@@ -10,9 +10,9 @@ blocks of queries, keeps what reaches the floor of its query, and ranks that by
 exact whatever the index misses; a poor floor only lets more through. The scan takes vectors times queries.
 
 The pivots are a bounded sample (at most `MOST_PIVOTS` vectors, chosen by hash); their number grows with the square root
-of the collection, so that files grow no faster than that. Every vector is indexed. Files longer than `FILE_ROWS` are
-split into parts that are searched by separate tasks; of equal vectors a file keeps the k + 1 with the smallest ids,
-which decide every answer, since ties go to the smaller id.
+of the collection, so that files grow no faster than that. Files longer than `FILE_ROWS` are
+split into parts that are searched by separate tasks. Of equal vectors the k + 1 with the smallest ids are posted,
+whatever the size of the files: they decide every answer, since ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -211,17 +211,17 @@ def most_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int =
     hashed = rows.select("vec_id", "embedding", F.xxhash64("embedding").alias("h"))
     in_files = lambda n: F.explode(F.array(*[F.struct(F.lit(i).alias("place"), _int16("places", i).alias("file")) for i in range(n)])).alias("f")
     index = materialize(hashed.mapInArrow(_orders(p, dim, order), places), "orders")
-    posts = index.select("vec_id", "h", "places", in_files(posted)).select(F.col("f.file").alias("file"), "vec_id", "h", "places")
+    few = Window.partitionBy("h").orderBy("vec_id")
+    held = index.dropDuplicates(["vec_id", "h"]).withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= k + 1)
+    posts = held.select("vec_id", "places", in_files(posted)).select(F.col("f.file").alias("file"), "vec_id", "places")
     # queries are looked up in the index itself: they have the same order there
     named = index.select(F.col("vec_id").alias("query"), "places")
     asked = named.join(queries.select(F.col("vec_id").alias("query")).distinct(), "query", "left_semi").dropDuplicates(["query"])
     asks = asked.select("query", F.col("places").alias("order"), in_files(read)).select(F.col("f.file").alias("ask_file"), "query", "order")
 
+    posts = materialize(posts, "posts")
     sizes = posts.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / file_rows).cast("int").alias("parts"))
     sizes = materialize(sizes, "files")  # a row a pivot at most; Catalyst sees how small it is
-    split = not sizes.where("parts > 1").isEmpty()
-    few = Window.partitionBy("file", "h").orderBy("vec_id")
-    posts = posts.dropDuplicates(["file", "vec_id"]).withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= k + 1) if split else posts
     posts = posts.join(sizes, "file").select("file", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "places")
     parts = sizes.select(F.col("file").alias("ask_file"), F.col("parts").alias("ask_parts"))
     asks = asks.join(parts, "ask_file").select("ask_file", F.explode(F.sequence(F.lit(0), F.col("ask_parts") - 1)).alias("ask_part"), "query", "order")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow.dataset as ds
 
+from shardloom.llm import vectors
 from shardloom.llm.queries import p5_found, p5_neighbours
 from shardloom.llm.vectors import most_similar, pivot_count
 
@@ -95,6 +96,26 @@ def test_split_files_and_copies(spark):
     assert [v for _, v in sorted(got[1299])] == [1000, 1001, 1002, 1003, 1004]
 
 
+def test_copies_push_nothing_out(spark, monkeypatch):
+    """60 to 160 copies of the 10th neighbour of each query, in files of the default size: the nine before it stay in the list of the index."""
+    rows = clustered(3000)
+    queries = list(range(60))  # of 60 clusters
+    near = exact(rows, queries, 10, 64)
+    vector = dict(rows)
+    for q in queries:
+        rows += [(10_000 + 1000 * q + i, vector[near[q][9]]) for i in range(60 + 100 * (q % 2))]
+    seen = {}
+    keep = vectors.materialize
+    monkeypatch.setattr(vectors, "materialize", lambda df, name, *a: seen.setdefault(name, keep(df, name, *a)))
+    got = {}
+    for r in most_similar(frame(spark, rows).repartition(4), spark.createDataFrame([(q,) for q in queries], "vec_id long")).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r.vec_id))
+    assert {q: [v for _, v in sorted(found)] for q, found in got.items()} == exact(rows, queries, 10, 64)
+    listed = {(r["query"], r.vec_id) for r in seen["candidates"].collect()}
+    stay = sum((q, v) in listed for q in queries for v in near[q][:9])
+    assert stay >= 0.99 * 9 * len(queries), stay
+
+
 def test_unusable_and_empty(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, []), (5, [1.0]), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [None, 1.0]), (10, [1e-30, 0.0]), (None, [1.0, 0.0]), (11, [3e38, 3e38])]
     ask = spark.createDataFrame([(1,), (1,), (3,), (99,), (None,), (11,)], "vec_id long")
