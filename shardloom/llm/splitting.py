@@ -10,7 +10,8 @@ same steps within its task, without a shuffle.
 A piece has at most `limit` tokens, tokens being longest runs without blank, tab, LF, CR and FF. From a piece's first
 token on, the last boundary of the strongest kind in the upper half of what the limit allows is taken, else the last
 boundary of any kind that leaves more than the overlap, else the limit itself. The next piece starts `overlap` tokens
-before the cut. A boundary is judged by the 64 bytes before a token and by its first byte.
+before the cut. A boundary is judged by what ends before a token, by the white space between, however long, and by the
+token's first byte; where the white space begins before a range, the boundary table carries what the next range needs.
 """
 
 from __future__ import annotations
@@ -43,6 +44,55 @@ def _ends_with(buf: np.ndarray, at: np.ndarray, floor: np.ndarray, mark: str) ->
     return ok
 
 
+def _breaks(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running numbers of line ends and of form feeds."""
+    newline = (buf == 10) | ((buf == 13) & np.r_[buf[1:] != 10, True])
+    return np.r_[0, np.cumsum(newline)], np.r_[0, np.cumsum(buf == 12)]
+
+
+def _stops(buf: np.ndarray, at: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """Whether a sentence ends with the byte `at`, apart from two closing marks."""
+    at = at.copy()
+    for _ in range(2):
+        step = np.zeros(len(at), np.int64)
+        for mark in _CLOSERS:
+            step = np.where(_ends_with(buf, at, floor, mark), len(mark.encode()), step)
+        at = at - step
+    stop = np.zeros(len(at), bool)
+    for mark in _STOPS:
+        stop |= _ends_with(buf, at, floor, mark)
+    return stop
+
+
+def gap_of_range(raw: bytes, left: int, right: int) -> list[int]:
+    """What a range tells about white space that crosses its edges.
+
+    Whether its first token's white space begins before the range, the line ends and form feeds before that token (of
+    the whole range if it is blank), and whether the token can't begin a sentence; whether the range isn't blank, whether
+    a sentence ends with its last mark, and the line ends and form feeds after that.
+    """
+    buf = np.frombuffer(raw, np.uint8)
+    end = len(buf) - right
+    lines, feeds = _breaks(buf)
+    marks = np.flatnonzero(~_SPACE[buf[left:end]]) + left
+    if not len(marks):
+        return [0, int(lines[end] - lines[left]), int(feeds[end] - feeds[left]), 0, 0, 0, 0, 0]
+    first, last = int(marks[0]), int(marks[-1])
+    crosses = left > 0 and (first > left or bool(_SPACE[buf[left - 1]]))
+    stop = bool(_stops(buf, np.array([last]), np.zeros(1, np.int64))[0])
+    return [int(crosses), int(lines[first] - lines[left]), int(feeds[first] - feeds[left]), int(_NO_START[buf[first]]), 1, int(stop), int(lines[end] - lines[last + 1]), int(feeds[end] - feeds[last + 1])]
+
+
+def _first_kinds(gaps: list[list[int]]) -> list[int]:
+    """Kind of the boundary before the first token of each range, 0 where the range sees it all itself."""
+    out, stop, lines, feeds = [], 0, 0, 0
+    for crosses, head_lines, head_feeds, low, marked, ends, tail_lines, tail_feeds in gaps:
+        many, fed = lines + head_lines, feeds + head_feeds
+        out.append((3 if many > 1 or fed else 2 if stop and not low else 1 if many else 0) if crosses else 0)
+        stop, lines, feeds = (ends, tail_lines, tail_feeds) if marked else (stop, many, fed)
+    return out
+
+
 def scan_range(raw: bytes, left: int, right: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
     """Tokens of a range that has `left` and `right` bytes of halo.
 
@@ -62,25 +112,14 @@ def scan_range(raw: bytes, left: int, right: int) -> tuple[np.ndarray, np.ndarra
     end = end[(end >= left) & (end < n - right)]
     lead = np.cumsum((buf[left : n - right] & 0xC0) != 0x80)
     # kinds
-    floor = np.maximum(start - HALO, 0)
+    floor = np.zeros(len(start), np.int64)
     place = np.where(~space, np.arange(n), -1)
     last = np.maximum.accumulate(place)[np.maximum(start - 1, 0)] if n else start
     last = np.where(start > 0, last, -1)
     gap = np.maximum(last + 1, floor)
-    newline = (buf == 10) | ((buf == 13) & np.r_[buf[1:] != 10, True])
-    lines = np.r_[0, np.cumsum(newline)]
-    feeds = np.r_[0, np.cumsum(buf == 12)]
+    lines, feeds = _breaks(buf)
     many = lines[start] - lines[gap]
-    at = last.copy()
-    for _ in range(2):
-        step = np.zeros(len(at), np.int64)
-        for mark in _CLOSERS:
-            step = np.where(_ends_with(buf, at, floor, mark), len(mark.encode()), step)
-        at = at - step
-    stop = np.zeros(len(at), bool)
-    for mark in _STOPS:
-        stop |= _ends_with(buf, at, floor, mark)
-    stop &= (last >= floor) & ~_NO_START[buf[start]]
+    stop = _stops(buf, last, floor) & (last >= floor) & ~_NO_START[buf[start]]
     kind = np.where((many > 1) | (feeds[start] > feeds[gap]), 3, np.where(stop, 2, np.where(many > 0, 1, 0)))
     return lead[start - left] - 1, lead[end - left], int(lead[-1]) if len(lead) else 0, kind.astype(np.uint8)
 
@@ -116,7 +155,7 @@ def _batches(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _arrow(ddl: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "timestamp": pa.timestamp("us", tz="UTC"), "boolean": pa.bool_()}
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "timestamp": pa.timestamp("us", tz="UTC"), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
     return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in ddl.split(", "))])
 
 
@@ -135,7 +174,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batches(schema, rows)
 
 
-_TABLE = "document_id string, index_name string, loaded_at timestamp, version long, limit int, overlap int, r int, starts int, ends int, chars int, at binary, kind binary"
+_TABLE = "document_id string, index_name string, loaded_at timestamp, version long, limit int, overlap int, r int, starts int, ends int, chars int, gap array<int>, at binary, kind binary"
 
 
 def _boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +184,11 @@ def _boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for *head, r, left, right, raw in zip(*(c.to_pylist() for c in batch.columns)):
             start, end, chars, kind = scan_range(raw, left, right)
+            gap = gap_of_range(raw, left, right)
+            if gap[0]:
+                kind[:1] = 0
             at = np.flatnonzero(kind)
-            rows.append((*head, r, len(start), len(end), chars, at.astype("<i4").tobytes(), kind[at].tobytes()))
+            rows.append((*head, r, len(start), len(end), chars, gap, at.astype("<i4").tobytes(), kind[at].tobytes()))
         yield _batches(schema, rows)
 
 
@@ -160,8 +202,9 @@ def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, index, loaded, version, limit, overlap, ranges in zip(*(c.to_pylist() for c in batch.columns)):
             ranges.sort(key=lambda x: x["r"])
             begun, ended, chars = (np.r_[0, np.cumsum([x[c] for x in ranges])] for c in ("starts", "ends", "chars"))
-            at = np.concatenate([np.frombuffer(x["at"], "<i4") + b for x, b in zip(ranges, begun)])
-            kind = np.concatenate([np.frombuffer(x["kind"], np.uint8) for x in ranges])
+            first = [[f] if f else [] for f in _first_kinds([x["gap"] for x in ranges])]
+            at = np.concatenate([np.r_[np.zeros(len(f), np.int64), np.frombuffer(x["at"], "<i4")] + b for x, b, f in zip(ranges, begun, first)])
+            kind = np.concatenate([np.r_[np.array(f, np.uint8), np.frombuffer(x["kind"], np.uint8)] for x, f in zip(ranges, first)])
             rows = []
             for i, (a, b, why) in enumerate(choose_pieces(int(begun[-1]), at.tolist(), kind.tolist(), limit, overlap)):
                 for token, sums, is_end in ((a, begun, False), (b - 1, ended, True)):
@@ -213,7 +256,7 @@ def split_oversized(documents: DataFrame, limits: DataFrame, range_bytes: int =
     ranges = long.select(*head, "r", left.alias("left"), right.alias("right"), F.substring("raw", begin - left + 1, left + range_bytes + right).alias("part"))
     ranges = ranges.repartition(F.col("document_id"), F.col("r"))  # the ranges of one text go to many tasks
     tables = ranges.mapInArrow(_boundaries, _TABLE)
-    part = F.struct("r", "starts", "ends", "chars", "at", "kind")
+    part = F.struct("r", "starts", "ends", "chars", "gap", "at", "kind")
     grouped = tables.groupBy(*head).agg(F.collect_set(part).alias("ranges"))  # copies of a row give equal structs
     big = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, x: a + x["starts"]) > F.col("limit")
     edges = grouped.where(big).select(*head, "ranges").mapInArrow(_stitch, _EDGE)

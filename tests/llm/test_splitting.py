@@ -59,6 +59,20 @@ def test_boundaries(spark):
     assert [(text[r.start_char : r.end_char].split()[-1], r.boundary) for r in got] == [("five", "paragraph"), ("nine", "limit"), ("twelve.", "sentence"), ("fifteen", "end")]
 
 
+def test_white_space_of_any_length(spark):
+    """A sentence's, a paragraph's and a line's end before more than 64 blanks, within a range and across several."""
+    def text(blanks):
+        parts = ['one two three four five."', " " * blanks, "Six seven eight nine ten", "\n" + " " * blanks + "\n", "eleven twelve thirteen fourteen fifteen", "\r\n" + " " * blanks, "x y z"]
+        return "".join(parts)
+    rows = [(f"d{n}", "a", text(n)) for n in (1, 63, 64, 65, 100, 1000)]
+    limits = spark.createDataFrame([("a", 6, 0)], LIMIT)
+    for size in (1_000_000, 97, 300):
+        by = {}
+        for r in split_oversized(docs(spark, rows), limits, size).orderBy("piece").collect():
+            by.setdefault(r.document_id, []).append((r.n_tokens, r.boundary))
+        assert by == {d: [(5, "sentence"), (5, "paragraph"), (5, "line"), (3, "end")] for d, _, _ in rows}
+
+
 def test_edge_cases(spark):
     rows = [("null", "a", None), ("empty", "a", ""), ("blank", "a", " \n\t "), ("limit", "a", "a b c"), ("over", "a", "a b c d"), ("none", "n", "a b c d"), ("zero", "z", "a b c d"), ("unknown", "q", "a b c d"), ("wide", "w", "a b c d"), ("minus", "m", "a b c d"), ("one", "a", "x" * 300_000), ("big", "a", "word " * 40_000), ("noname", None, "a b c d")]
     limits = spark.createDataFrame([("a", 3, 1), ("n", None, 1), ("z", 0, 0), ("w", 3, 9), ("m", 3, -2), (None, 1, 0)], LIMIT)
