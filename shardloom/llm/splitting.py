@@ -238,7 +238,7 @@ def split_oversized(documents: DataFrame, limits: DataFrame, range_bytes: int =
 
     No pieces come of null, empty and blank texts, of texts within the limit, and where the limit is null or not above
     0 or the index is unknown. A null or negative overlap counts as 0, one of the limit or more as limit - 1. Rows that
-    repeat a document_id count once, by the latest loaded_at. Extra columns are ignored, whatever their names.
+    repeat a document_id count once, by the latest loaded_at; without a document_id each text counts, equal rows once. Extra columns are ignored, whatever their names.
     """
     sizes = limits.where("max_parent_chunk_size > 0").select("index_name", F.col("max_parent_chunk_size").alias("limit"), F.coalesce("parent_chunk_overlap_size", F.lit(0)).alias("overlap"))
     version = F.xxhash64("content")
@@ -268,6 +268,10 @@ def split_oversized(documents: DataFrame, limits: DataFrame, range_bytes: int =
     far = held.groupBy(*key, "piece", "n_tokens", "boundary").agg(F.max("start_char").alias("start_char"), F.max("end_char").alias("end_char"))
 
     pieces = short.unionByName(far)
-    latest = documents.groupBy("document_id").agg(F.max(F.struct("loaded_at", version.alias("version"))).alias("last"))
-    kept = pieces.join(latest.select(F.col("document_id").alias("_id"), "last"), (F.col("document_id") == F.col("_id")) & F.col("last.loaded_at").eqNullSafe(F.col("loaded_at")) & (F.col("last.version") == F.col("version")))
-    return kept.select("document_id", "index_name", "piece", "start_char", "end_char", "n_tokens", "boundary").dropDuplicates(["document_id", "piece"])
+    latest = documents.where(F.col("document_id").isNotNull()).groupBy("document_id").agg(F.max(F.struct("loaded_at", version.alias("version"))).alias("last"))
+    is_latest = F.col("last.loaded_at").eqNullSafe(F.col("loaded_at")) & (F.col("last.version") == F.col("version"))
+    kept = pieces.join(latest.select(F.col("document_id").alias("_id"), "last"), F.col("document_id") == F.col("_id"), "left").where(F.col("document_id").isNull() | is_latest)
+    # rows without an id are records of their own
+    own_row = F.when(F.col("document_id").isNull(), F.struct("index_name", "loaded_at", "version"))
+    kept = kept.withColumn("own", own_row).dropDuplicates(["document_id", "own", "piece"])
+    return kept.select("document_id", "index_name", "piece", "start_char", "end_char", "n_tokens", "boundary")

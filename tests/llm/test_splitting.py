@@ -91,6 +91,14 @@ def test_latest_row_counts(spark):
     assert {r.document_id for r in got.collect()} == {"e"}
 
 
+def test_rows_without_id_have_pieces(spark):
+    rows = [(None, "a", "a b c d"), (None, "a", "e f g h i j k"), (None, "a", "a b c d"), (None, "a", "a b"), (None, "a", "word " * 100), ("d", "a", "a b c d")]
+    for size in (1_000_000, 64):
+        got = split_oversized(docs(spark, rows), spark.createDataFrame([("a", 3, 0)], LIMIT), size).collect()
+        assert sorted(r.piece for r in got if r.document_id is None) == sorted([*range(2), *range(3), *range(34)])
+        assert sorted(r.piece for r in got if r.document_id == "d") == [0, 1]
+
+
 @pytest.mark.parametrize("n,limit,overlap", [(1, 1, 0), (7, 1, 0), (7, 3, 2), (100, 7, 6), (3, 3, 1)])
 def test_pieces_cover(n, limit, overlap):
     pieces = choose_pieces(n, [2, 5], [2, 3], limit, overlap)
