@@ -1,4 +1,4 @@
-"""Streaming twins: the change fold, entries with time to live, heartbeats, and locks."""
+"""Streaming twins: the change fold, bursts, heartbeats, and locks."""
 
 from __future__ import annotations
 
