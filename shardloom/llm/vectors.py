@@ -1,18 +1,16 @@
-"""Most similar vectors: a permutation index for a first answer, and a scan of all vectors that makes it exact.
-
-A vector is represented by the order of its nearest pivots. It is posted, with that order, in the inverted files of its
-first `posted` pivots. A query reads the files of its first `read` pivots, ranks what it finds by the footrule distance
-of the two orders (a pivot missing in one order stands at its end), keeps the best `rerank`, and these are ranked again
-by the exact cosine. A vector found in several files is judged in the first of them that the query reads.
-
-The k-th cosine found so is a floor: no vector below it is among the k nearest. The scan meets blocks of vectors with
-blocks of queries, keeps what reaches the floor of its query, and ranks that by the exact cosine. So the answer is
-exact whatever the index misses; a poor floor only lets more through. The scan takes vectors times queries.
-
-The pivots are a bounded sample (at most `MOST_PIVOTS` vectors, chosen by hash); their number grows with the square root
-of the collection, so that files grow no faster than that. Files longer than `FILE_ROWS` are
-split into parts that are searched by separate tasks. Of equal vectors the k + 1 with the smallest ids are posted,
-whatever the size of the files: they decide every answer, since ties go to the smaller id.
+"""Most similar vectors: a permutation index.
+
+A vector is represented by the order of its nearest pivots. It is posted in the inverted files of its first `posted`
+pivots, with that order and a code of one byte a dimension. A query reads the files of its first `read` pivots. In each
+it ranks what it finds by the footrule distance of the two orders (a pivot missing in one order stands at its end), keeps
+the best `rerank`, and ranks these again by the cosine of the codes; the best of all its files are ranked at last by the
+exact cosine of the vectors. A vector found in several files is judged in the first of them that the query reads.
+
+The pivots are a bounded sample (at most `MOST_PIVOTS` vectors, chosen by hash). Their number and `rerank` grow with the
+square root of the collection, so that a query's work does, too; from some 30 million vectors on the pivots stay, and the
+files grow with the collection. Files longer than `FILE_ROWS` are split into parts that are searched by separate tasks.
+Of equal vectors the k + 1 with the smallest ids are posted, whatever the size of the files: they decide every answer,
+since ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -28,18 +26,17 @@ from pyspark.sql import functions as F
 
 from shardloom.sources.scratch import materialize
 
-MOST_PIVOTS = 8_192
+MOST_PIVOTS = 32_000
 FILE_ROWS = 50_000
 ORDER = 24
 POSTED = 5
-READ = 4
-RERANK = 50
-#: Most vectors and most queries of one task of the scan, and the cells of the matrix that it multiplies at once.
-BLOCK_ROWS = 200_000
-ASK_ROWS = 200_000
-CELLS = 4_000_000
-#: What single precision may lose of a cosine, with room to spare.
-SLACK = 1e-5
+READ = 20
+#: Candidates of a file, at least and by the square root of the rows, that are ranked by their codes.
+RERANK, RERANK_ROOTS = 500, 2
+#: Candidates by codes that are ranked by their exact cosines, in multiples of k.
+EXACT = 3
+#: Queries of a file that are compared at once.
+ASKED = 64
 
 
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
@@ -60,53 +57,69 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return _unit(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
 
 
-def _orders(pivots: np.ndarray, dim: int, order: int):
-    """Rows vec_id, h (hash of the vector), pivots (int16, nearest first)."""
+def _orders(pivots: np.ndarray, order: int, posted: int):
+    """Rows vec_id, h (hash of the vector), files (the first pivots), places (int16, nearest first), code (int8)."""
+    dim = pivots.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 2048) for b in batches for i in range(0, b.num_rows, 2048)):
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             x = _matrix(batch.column(1), dim)
             s = x @ pivots.T
             k = min(order, s.shape[1])
             near = np.argpartition(-s, k - 1, axis=1)[:, :k]
             near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1).astype("<i2")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in near], pa.binary())], ["vec_id", "h", "places"])
+            code = np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8)
+            files = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * posted + 1, posted), pa.int32()), pa.array(near[:, :posted].astype(np.int32).ravel(), pa.int32()))
+            columns = [batch.column(0), batch.column(2), files, *[pa.array([r.tobytes() for r in m], pa.binary()) for m in (near, code)]]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "h", "files", "places", "code"])
 
     return run
 
 
-def _search(posted: int, rerank: int, pivots: int):
+def _search(posted: int, read: int, rerank: int, best: int, pivots: int):
+    """Of a file, the best of each query that reads it: query, vec_id, near (the cosine of the codes)."""
+
+    def stacked(column: pd.Series, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+
+    def coded(column: pd.Series) -> np.ndarray:
+        m = stacked(column, np.int8).astype(np.float32)
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
     def run(key: tuple, posts: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query": [], "vec_id": [], "distance": []}).astype("int64")
+        none = pd.DataFrame({"query": [], "vec_id": [], "near": []}).astype({"query": "int64", "vec_id": "int64", "near": "float32"})
         if not len(posts) or not len(asks):
             return none
-        ids = posts["vec_id"].to_numpy()
-        ids, at = np.unique(ids, return_index=True)  # rows that repeat a vector count once
-        own = np.stack([np.frombuffer(p, "<i2") for p in posts["places"].to_numpy()[at]]).astype(np.int64)
-        k = own.shape[1]
+        posts = posts.drop_duplicates("vec_id")  # rows that repeat a vector count once
+        ids, order, m = posts["vec_id"].to_numpy(), stacked(posts["places"], "<i2").astype(np.int64), coded(posts["code"])
+        queries, asked, v = asks["query"].to_numpy(), stacked(asks["order"], "<i2").astype(np.int64), coded(asks["ask_code"])
+        k = order.shape[1]
         ranks = np.arange(k)
         out = []
-        for query, raw in zip(asks["query"].to_numpy(), asks["order"].to_numpy()):
-            q = np.frombuffer(raw, "<i2")
-            place = np.full(pivots, k, np.int64)
-            place[q] = ranks
-            there = place[own]
-            # footrule: places of pivots in both, and the distance to the end for those in one
-            distance = np.abs(there - ranks).sum(1) + (k - ranks).sum() - (k - there).sum(1)
+        for i in range(0, len(queries), ASKED):
+            q, mine = asked[i : i + ASKED], queries[i : i + ASKED]
+            rows = np.arange(len(q))
+            place = np.full((len(q), pivots), k, np.int16)
+            place[rows[:, None], q] = ranks
             # judged in the first file that both share: the least place in the query among the files of the vector
-            mine = place[key[0]]
-            keep = (there[:, :posted].min(1) >= mine) & (ids != query)
-            d, v = distance[keep], ids[keep]
-            if len(d) > rerank:
-                cut = np.partition(d, rerank - 1)[rerank - 1]
-                some = np.flatnonzero(d <= cut)
-                some = some[np.lexsort((v[some], d[some]))[:rerank]]
-                d, v = d[some], v[some]
-            out.append((np.full(len(d), query), v, d))
-        if not out:
-            return none
+            first = place[:, order[:, 0]]
+            for j in range(1, posted):
+                first = np.minimum(first, place[:, order[:, j]])
+            near = np.where((first == place[:, key[0]][:, None]) & (ids != mine[:, None]), v[i : i + ASKED] @ m.T, np.float32(-9))
+            for r in np.flatnonzero((near > -9).sum(1) > rerank):
+                some = np.flatnonzero(near[r] > -9)
+                there = place[r, order[some]].astype(np.int64)
+                # footrule: places of pivots in both, and the distance to the end for those in one
+                distance = np.abs(there - ranks).sum(1) + (k - ranks).sum() - (k - there).sum(1)
+                far = np.lexsort((ids[some], distance))[rerank:]
+                near[r, some[far]] = -9
+            if near.shape[1] > best:
+                cut = -np.partition(-near, best - 1, axis=1)[:, best - 1]
+                near[near < cut[:, None]] = -9
+            r, c = np.nonzero(near > -9)
+            out.append((mine[r], ids[c], near[r, c]))
         a, b, c = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"query": a, "vec_id": b, "distance": c})
+        return pd.DataFrame({"query": a, "vec_id": b, "near": c})
 
     return run
 
@@ -127,71 +140,25 @@ def _cosine(dim: int):
     return run
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the scores that may be among the best of k different ids."""
-    order = np.argsort(-scores, kind="stable")
-    _, first = np.unique(ids[order], return_index=True)
-    if len(first) <= k:
-        return order
-    return order[scores[order] >= scores[order[np.sort(first)[k - 1]]] - SLACK]
-
-
-def _scan(k: int, dim: int):
-    """Of a block of vectors and a block of queries, the pairs that reach the floor of the query; more than k only by ties."""
-
-    def run(_: tuple, vectors: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query": [], "vec_id": [], "cosine": []}).astype({"query": "int64", "vec_id": "int64", "cosine": "float64"})
-        if not len(vectors) or not len(asks):
-            return none
-        # of equal vectors the k + 1 with the smallest ids decide every answer; all rows of an id are in this block
-        vectors = vectors.drop_duplicates(["h", "vec_id"]).sort_values("vec_id", kind="stable")
-        vectors = vectors[vectors.groupby("h").cumcount() <= k]
-        ids, x = vectors["vec_id"].to_numpy(), np.concatenate(vectors["embedding"].to_numpy()).reshape(-1, dim)
-        queries, y = asks["query"].to_numpy(), np.concatenate(asks["asked"].to_numpy()).reshape(-1, dim)
-        floor = (asks["floor"].fillna(-2.0).to_numpy(np.float64) - SLACK).astype(np.float32)
-        u, v = _unit(x).T, _unit(y)
-        step = max(1, CELLS // len(ids))
-        out = []
-        for i in range(0, len(queries), step):
-            s = v[i : i + step] @ u
-            q, j = np.divmod(np.flatnonzero(s >= floor[i : i + step, None]), len(ids))
-            other = ids[j] != queries[i + q]
-            q, j = q[other], j[other]
-            ends = np.searchsorted(q, np.arange(len(s) + 1))
-            for a in np.flatnonzero(np.diff(ends) > 2 * k):
-                mine = slice(ends[a], ends[a + 1])
-                keep = np.zeros(ends[a + 1] - ends[a], bool)
-                keep[_best(s[a, j[mine]], ids[j[mine]], k)] = True
-                q[mine][~keep] = -1
-            j, q = j[q >= 0], q[q >= 0] + i
-            if len(q):
-                out.append((queries[q], ids[j], cosines(y[q], x[j])))
-        if not out:
-            return none
-        a, b, c = (np.concatenate(z) for z in zip(*out))
-        return pd.DataFrame({"query": a, "vec_id": b, "cosine": c})
-
-    return run
-
-
 def pivot_count(rows: int) -> int:
-    """Three times the square root of the rows, as a power of 2 from 64 to MOST_PIVOTS."""
-    return min(MOST_PIVOTS, max(64, 2 ** round(math.log2(3 * math.sqrt(max(rows, 1))))))
+    """Six times the square root of the rows, as a power of 2 from 64 up, at most MOST_PIVOTS."""
+    return min(MOST_PIVOTS, max(64, 2 ** round(math.log2(6 * math.sqrt(max(rows, 1))))))
 
 
-def most_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64, pivots: int | None = None, order: int = ORDER, posted: int = POSTED, read: int = READ, rerank: int = RERANK, file_rows: int = FILE_ROWS) -> DataFrame:
+def most_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64, pivots: int | None = None, order: int = ORDER, posted: int = POSTED, read: int = READ, rerank: int | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
     """query, vec_id, cosine, rank: for each vec_id of `queries` its k most similar other vectors of `vectors`.
 
     vectors: vec_id, embedding. Ties of the cosine go to the smaller vec_id. Rows that repeat a vec_id count once, by
     the most similar of their vectors.
     Vectors that are null, of another length than dim, all zero or not finite take no part, as queries neither; a query
     whose id has no vector has no rows. Fewer than k other vectors give fewer rows, an empty table none.
-    Exact: pivots, order, posted, read and rerank only decide how close the floors of the scan are.
+    Cosines are exact, but a neighbour whose order of pivots differs much from the query's can be missed.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, dim)
     total = vectors.count()
     wanted = pivots or pivot_count(total)
+    rerank = rerank or max(RERANK, math.ceil(RERANK_ROOTS * math.sqrt(total)))
     # the hash range holds some four times as many vectors as wanted, so that no task sends the driver more than its share
     h, whole = F.xxhash64("vec_id"), 1 << 30
     part = min(whole, math.ceil(whole * 4 * (wanted + 16) / max(total, 1)))
@@ -199,60 +166,41 @@ def most_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int =
     sample = draw(rows.where(F.pmod(h, F.lit(whole)) < part))
     if len(sample) < wanted and part < whole:  # few rows are usable
         sample = draw(rows)
-    schema = "query long, vec_id long, cosine double, rank int"
     if not sample:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query long, vec_id long, cosine double, rank int")
     p = np.unique(np.array([r[0] for r in sample], np.float32), axis=0)
-    p = p / np.abs(p).max(axis=1, keepdims=True)
-    p = p / np.linalg.norm(p, axis=1, keepdims=True)
-    posted, read = min(posted, len(p), order), min(read, len(p), order)
+    p = _unit(p)
+    order = min(order, len(p))
+    posted, read = min(posted, order), min(read, order)
 
-    places = "vec_id long, h long, places binary"
     hashed = rows.select("vec_id", "embedding", F.xxhash64("embedding").alias("h"))
-    in_files = lambda n: F.explode(F.array(*[F.struct(F.lit(i).alias("place"), _int16("places", i).alias("file")) for i in range(n)])).alias("f")
-    index = materialize(hashed.mapInArrow(_orders(p, dim, order), places), "orders")
-    few = Window.partitionBy("h").orderBy("vec_id")
-    held = index.dropDuplicates(["vec_id", "h"]).withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= k + 1)
-    posts = held.select("vec_id", "places", in_files(posted)).select(F.col("f.file").alias("file"), "vec_id", "places")
+    # the first `read` pivots as numbers; the first `posted` of them are the files that hold the vector
+    index = materialize(hashed.mapInArrow(_orders(p, order, max(posted, read)), "vec_id long, h long, files array<int>, places binary, code binary"), "orders")
+    # of more than k + 1 equal vectors, the last id that is posted
+    different = index.select("h", "vec_id").distinct()
+    many = different.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select("h")
+    among = different.join(many, "h").withColumn("nth", F.row_number().over(Window.partitionBy("h").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
+    last = materialize(among.groupBy("h").agg(F.max("vec_id").alias("last")), "equal")
+    held = index.join(last, "h", "left").where(F.col("last").isNull() | (F.col("vec_id") <= F.col("last")))
+
+    # files that need several tasks, with their number of parts
+    each = index.select(F.explode(F.slice("files", 1, posted)).alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    long = materialize(each.where(F.col("n") > file_rows).select("file", F.ceil(F.col("n") / file_rows).cast("int").alias("parts")), "files")
+    parts = F.coalesce("parts", F.lit(1))
+    posts = held.select("vec_id", "places", "code", F.explode(F.slice("files", 1, posted)).alias("file")).join(long, "file", "left")
+    posts = posts.select("file", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("part"), "vec_id", "places", "code")
     # queries are looked up in the index itself: they have the same order there
-    named = index.select(F.col("vec_id").alias("query"), "places")
-    asked = named.join(queries.select(F.col("vec_id").alias("query")).distinct(), "query", "left_semi").dropDuplicates(["query"])
-    asks = asked.select("query", F.col("places").alias("order"), in_files(read)).select(F.col("f.file").alias("ask_file"), "query", "order")
-
-    posts = materialize(posts, "posts")
-    sizes = posts.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / file_rows).cast("int").alias("parts"))
-    sizes = materialize(sizes, "files")  # a row a pivot at most; Catalyst sees how small it is
-    posts = posts.join(sizes, "file").select("file", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "places")
-    parts = sizes.select(F.col("file").alias("ask_file"), F.col("parts").alias("ask_parts"))
-    asks = asks.join(parts, "ask_file").select("ask_file", F.explode(F.sequence(F.lit(0), F.col("ask_parts") - 1)).alias("ask_part"), "query", "order")
-    found = posts.groupBy("file", "part").cogroup(asks.groupBy("ask_file", "ask_part")).applyInPandas(_search(posted, rerank, len(p)), "query long, vec_id long, distance long")
-    best = Window.partitionBy("query").orderBy("distance", "vec_id")
-    kept = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= rerank).select("query", "vec_id")
+    asked = index.withColumnRenamed("vec_id", "query").join(queries.select(F.col("vec_id").alias("query")).distinct(), "query", "left_semi").dropDuplicates(["query"])
+    asks = asked.select("query", F.col("places").alias("order"), F.col("code").alias("ask_code"), F.explode(F.slice("files", 1, read)).alias("file")).join(long, "file", "left")
+    asks = asks.select(F.col("file").alias("ask_file"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("ask_part"), "query", "order", "ask_code")
+    search = _search(posted, read, rerank, EXACT * k, len(p))
+    found = posts.groupBy("file", "part").cogroup(asks.groupBy("ask_file", "ask_part")).applyInPandas(search, "query long, vec_id long, near float")
+    nearest = Window.partitionBy("query").orderBy(F.desc("near"), "vec_id")
+    kept = found.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= EXACT * k).select("query", "vec_id")
     kept = materialize(kept, "candidates")
 
-    other = rows.select(F.col("vec_id").alias("query"), F.col("embedding").alias("asked"))
-    one = other.join(kept.select("query").distinct(), "query", "left_semi").dropDuplicates(["query"])
+    one = rows.select(F.col("vec_id").alias("query"), F.col("embedding").alias("asked")).join(kept.select("query").distinct(), "query", "left_semi").dropDuplicates(["query"])
     pairs = kept.join(one, "query").join(rows, "vec_id").select("query", "vec_id", "asked", "embedding")
-    scored = pairs.mapInArrow(_cosine(dim), "query long, vec_id long, cosine double").dropDuplicates(["query", "vec_id"])
+    scored = pairs.mapInArrow(_cosine(dim), "query long, vec_id long, cosine double").groupBy("query", "vec_id").agg(F.max("cosine").alias("cosine"))
     top = Window.partitionBy("query").orderBy(F.desc("cosine"), "vec_id")
-    floors = scored.withColumn("rank", F.row_number().over(top)).where(F.col("rank") == k).select("query", F.col("cosine").alias("floor"))
-
-    # every query scans: also those that the index found nothing for
-    wanted_ids = queries.select(F.col("vec_id").alias("query")).distinct()
-    asks = other.join(wanted_ids, "query", "left_semi").dropDuplicates(["query"]).join(floors, "query", "left")
-    asks = materialize(asks, "floors")
-    blocks = max(math.ceil(total / BLOCK_ROWS), min(math.ceil(total / file_rows), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    shares = max(1, math.ceil(asks.count() / ASK_ROWS))
-    block_of, share_of = (F.pmod(F.xxhash64(c), F.lit(n)).cast("int") for c, n in (("vec_id", blocks), ("query", shares)))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = hashed.select(block_of.alias("block"), each(shares).alias("share"), "vec_id", "h", "embedding")
-    right = asks.select(each(blocks).alias("ask_block"), share_of.alias("ask_share"), "query", "asked", "floor")
-    met = left.groupBy("block", "share").cogroup(right.groupBy("ask_block", "ask_share")).applyInPandas(_scan(k, dim), "query long, vec_id long, cosine double")
-    met = met.groupBy("query", "vec_id").agg(F.max("cosine").alias("cosine"))
-    return met.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
-
-
-def _int16(column: str, i: int):
-    """The i-th little-endian int16 of a binary column."""
-    byte = lambda j: F.conv(F.hex(F.substring(column, j + 1, 1)), 16, 10).cast("int")
-    return byte(2 * i) + 256 * byte(2 * i + 1)
+    return scored.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
