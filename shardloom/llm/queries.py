@@ -95,7 +95,18 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p5_found, p5_neighbours, p6_found, p6_passages, p7_mix, p7_shares, p7_shares_plain, p8_found, p8_reasons)}
 _WORDS = r"list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+_LEAKED = f"""WITH i AS (SELECT item_id, {_WORDS.format('text')} AS w FROM eval_items WHERE item_id IS NOT NULL),
+g AS (SELECT DISTINCT item_id, least(12, len(w)) AS n, unnest([array_to_string(w[j : j + least(12, len(w)) - 1], ' ') FOR j IN range(1, len(w) - least(12, len(w)) + 2)]) AS g FROM i WHERE len(w) > 0),
+t AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, text, {_WORDS.format('text')} AS w FROM t),
+x AS (SELECT doc_id, text, n, unnest([{{'j': j, 'g': array_to_string(w[j : j + n - 1], ' ')}} FOR j IN range(1, len(w) - n + 2)], recursive := true) FROM d, (SELECT DISTINCT n FROM g)),
+m AS (SELECT doc_id, text, item_id, n, j, j - row_number() OVER (PARTITION BY doc_id, text, item_id, n ORDER BY j) AS run FROM (SELECT DISTINCT doc_id, text, item_id, n, j FROM x JOIN g USING (n, g)))
+SELECT doc_id, text, item_id, min(j) AS a, max(j) + n - 1 AS b FROM m GROUP BY doc_id, text, item_id, n, run"""
 SQL = {
+    "p6_passages": rf"""WITH p AS ({_LEAKED}),
+o AS (SELECT *, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS w, regexp_extract_all(text, '[^\p{{L}}\p{{N}}]+') AS s, regexp_matches(text, '^[^\p{{L}}\p{{N}}]')::INT AS lead FROM p)
+SELECT doc_id, item_id, (coalesce(list_sum([length(z) FOR z IN w[1 : a - 1]]), 0) + coalesce(list_sum([length(z) FOR z IN s[1 : a - 1 + lead]]), 0))::INT AS start_char,
+(list_sum([length(z) FOR z IN w[1 : b]]) + coalesce(list_sum([length(z) FOR z IN s[1 : b - 1 + lead]]), 0))::INT AS end_char, (b - a + 1)::INT AS n_words FROM o""",
     "p1_found": f"""WITH d AS (SELECT DISTINCT document_id, {_WORDS.format('title')} AS t, {_WORDS.format('content')} AS c FROM document_store),
 w AS (SELECT document_id, list_concat(t, c) AS w FROM d WHERE len(c) >= 20),
 s AS (SELECT DISTINCT document_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS g FROM w),

@@ -1,7 +1,7 @@
 import random
 
 from shardloom.llm.leakage import leaked_passages
-from shardloom.llm.lexing import words
+from shardloom.llm.lexing import WORD, words
 
 DOC = "doc_id long, text string, item_id int"
 ITEM = "item_id long, text string, doc_id int"
@@ -24,6 +24,28 @@ def brute(docs, items, n):
     return out
 
 
+def spans(docs, items, n):
+    """Every longest run of words in which each n consecutive words stand in the item, by place of the words."""
+    out = set()
+    for d, text in docs:
+        w = words(text)
+        at = [m.span() for m in WORD.finditer(text or "")]
+        for i, item in items:
+            q = words(item)
+            m = min(n, len(q))
+            if not m:
+                continue
+            grams = {tuple(q[k : k + m]) for k in range(len(q) - m + 1)}
+            hits = [k for k in range(len(w) - m + 1) if tuple(w[k : k + m]) in grams]
+            for k in hits:
+                if k - 1 not in hits:
+                    last = k
+                    while last + 1 in hits:
+                        last += 1
+                    out.add((d, i, at[k][0], at[last + m - 1][1], last + m - k))
+    return out
+
+
 def test_equals_brute_force(spark):
     rng = random.Random(3)
     vocabulary = "the ferry carries crates of salt Über İstanbul x1".split()
@@ -38,9 +60,16 @@ def test_equals_brute_force(spark):
             text[at:at] = [w.upper() + rng.choice(["", ",", "_", "\n"]) for w in q[lo : lo + rng.choice([6, 20])]]
         docs.append((d, " ".join(text)))
     a, b = frames(spark, docs, items)
-    for size in (2_000_000, 25):  # one automaton, and several
-        got = leaked_passages(a, b, window=6, automaton_words=size).select("doc_id", "item_id").distinct().collect()
-        assert {tuple(r) for r in got} == brute(docs, items, 6)
+    for size, segment in ((2_000_000, 5_000), (25, 5_000), (25, 8)):  # one automaton, several, and items in segments
+        got = leaked_passages(a, b, window=6, automaton_words=size, segment_words=segment).collect()
+        assert {tuple(r)[:2] for r in got} == brute(docs, items, 6)
+        assert sorted(map(tuple, got)) == sorted(spans(docs, items, 6))
+
+
+def test_no_passage_across_a_seam(spark):
+    first, second = (" ".join(f"{c}{i}" for i in range(12)) for c in "wv")
+    a, b = frames(spark, [(1, f"{first} {second}"), (2, f"{first} gap {second}")], [(7, f"{first} gap {second}")])
+    assert sorted((r.doc_id, r.n_words) for r in leaked_passages(a, b).collect()) == [(1, 12), (1, 12), (2, 25)]
 
 
 def test_offsets_are_of_the_original(spark):
