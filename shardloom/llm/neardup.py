@@ -1,20 +1,21 @@
 """Near-duplicate records: a byte-position inverted index with count filtering.
 
 A record is the set of its sequences of `width` consecutive words. It is laid out as a sparse byte string: the hash of
-each sequence names one of 2^24 positions and the byte that stands there. The positions are divided into `groups`.
-
-Guarantee. Let A and B share o of their sequences, with similarity o / (|A| + |B| - o) >= t, hence
-o >= t / (1 + t) * (|A| + |B|). Summed over the groups of positions this is the sum of the groups' own shares and sizes,
-so in one group at least o_g >= t / (1 + t) * (|A_g| + |B_g|): every wanted pair reaches that minimum of shared
-positional bytes in some group. Each group is therefore indexed by itself, its pairs are tallied, those that reach the
-group's minimum are retained, and the retained pairs are verified by their tallies over all groups.
-
-Inside a group the same bound gives a prefix: bytes are ordered from rare to frequent (counted over all records of the
-task), and a pair that reaches the minimum shares at least `shared` bytes among the first
-n - ceil(t * n) + `shared` of each record. Only those are posted. Nothing is capped: postings are walked in pieces.
-
-Records with equal sets form a class and are compared once. Two sequences of a record that fall on one byte are counted
-by `merged`, by which the minimum is lowered, so that the guarantee holds for the sequences themselves.
+each sequence names a position and the byte that stands there; a position with its byte is a cell. Cells are dealt out
+to buckets by another part of the hash, so that positions, buckets and tasks grow with the collection.
+
+Guarantee. Let A be a record of |A| sequences of which m(A) fell on a cell of another one. A partner at similarity t or
+more shares at least t * |A| sequences with it, hence at least need(A) = ceil(t * |A|) - m(A) cells. Order all cells from
+rare to frequent, by the number of records that have them. If two sets share k cells, then their first
+|cells| - k + c cells share at least min(c, k). So a pair at the threshold shares at least min(`shared`, need(A), need(B))
+cells among the first |cells| - need + `shared` cells of each record: only these are posted, pairs are tallied over all
+lists, and pairs that reach that minimum are retained. Cells that no other record has come first in the order and are
+never posted; records of which too many cells are their own have nothing posted at all. Retained pairs are verified on
+the 64-bit sequences themselves.
+
+Nothing is capped. Buckets with more cells than `bucket_cells`, as where a third of all records have a cell in common,
+are counted in shares whose counts are summed, and tallied as pairs of shares. Records with equal sets form a class
+and are compared once.
 """
 
 from __future__ import annotations
@@ -31,201 +32,273 @@ from pyspark.sql import functions as F
 from shardloom.llm.lexing import WordHashes, mix, shingle_hashes, words
 from shardloom.sources.scratch import materialize
 
-GROUPS = 8
-#: Records in one block of the index; beyond it blocks are paired, so that a task's memory stays bounded.
-BLOCK_RECORDS = 150_000
+#: Records whose cells make up a bucket, on the average.
+BUCKET_RECORDS = 4_000
+#: Cells of a bucket beyond which it is split into shares.
+BUCKET_CELLS = 8_000_000
 #: Records whose words a worker holds at once.
 SLICE_ROWS = 500
-_FINGERPRINT = "document_id string, loaded_at timestamp, usable boolean, cid long, grp int, block int, payload binary"
+_PRINT = "document_id string, loaded_at timestamp, usable boolean, cid long, bucket int, cells int, payload binary"
+_PACKED = "bucket int, cells int, payload binary"
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    return b"".join((np.array([len(arrays), *(len(a) for a in arrays), *(ord(a.dtype.char) for a in arrays)], "<i8").tobytes(), *(a.tobytes() for a in arrays)))
+
+
+def _unpack(raw: bytes) -> list[np.ndarray]:
+    k = int(np.frombuffer(raw, "<i8", 1)[0])
+    head = np.frombuffer(raw, "<i8", 1 + 2 * k)
+    at, out = head.nbytes, []
+    for n, kind in zip(head[1 : k + 1].tolist(), head[k + 1 :].tolist()):
+        out.append(np.frombuffer(raw, chr(kind), n, at))
+        at += out[-1].nbytes
+    return out
+
 
+def _share(cid: np.ndarray, shares: int) -> np.ndarray:
+    return ((cid.view(np.uint64) >> np.uint64(7)) % np.uint64(shares)).astype(np.int64)
 
-def _pack(cids: np.ndarray, sizes: np.ndarray, merged: np.ndarray, cells: np.ndarray) -> bytes:
-    return b"".join((np.array([len(cids)], "<i8").tobytes(), cids.astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), merged.astype("u1").tobytes(), cells.astype("<u4").tobytes()))
 
+def _spread(held: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Places of `held[i]` items from `start[i]` on, for all i."""
+    ends = np.cumsum(held)
+    return np.repeat(start - (ends - held), held) + np.arange(ends[-1] if len(ends) else 0)
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    at = 8
-    cids = np.frombuffer(raw, "<i8", n, at)
-    sizes = np.frombuffer(raw, "<i4", n, at + 8 * n)
-    merged = np.frombuffer(raw, "u1", n, at + 12 * n)
-    return cids, sizes, merged, np.frombuffer(raw, "<u4", -1, at + 13 * n)
 
+def _sequences(title: str | None, content: str | None, least_words: int) -> list[str] | None:
+    """The words of a record; None where its content has too few."""
+    w = words(content)
+    return words(title) + w if len(w) >= least_words else None
+
+
+def _sets(found: list[list[str]], hashes: WordHashes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sequences and their owners, by owner, and of each owner an order-free hash of its set."""
+    n = np.array([len(w) for w in found])
+    s = shingle_hashes(hashes([x for w in found for x in w]), width)
+    owner = np.repeat(np.arange(len(n)), n)
+    inside = owner[: len(s)] == owner[len(owner) - len(s) :]  # first and last word are of one record
+    s, owner = s[inside], owner[: len(s)][inside]
+    order = np.lexsort((s, owner))
+    s, owner = s[order], owner[order]
+    fresh = np.ones(len(s), bool)
+    fresh[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
+    s, owner = s[fresh], owner[fresh]
+    total = np.zeros(len(n), np.uint64)
+    with np.errstate(over="ignore"):
+        np.add.at(total, owner, mix(s * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)))
+        return s, owner, mix(total + np.bincount(owner, minlength=len(n)).astype(np.uint64)).view(np.int64)
+
+
+def _fingerprint(width: int, least_words: int, buckets: int):
+    """Of each record its class; of each slice, by bucket, the cells of its classes: cid, size, merged, cells here."""
+
+    def rows(columns: dict) -> pa.RecordBatch:
+        names = [c.split()[0] for c in _PRINT.split(", ")]
+        kinds = (pa.string(), pa.timestamp("us", "UTC"), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, kinds)], names)
 
-def _fingerprint(width: int, least_words: int, groups: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
-            ids, titles, contents, loaded = (batch.column(i) for i in range(4))
-            usable, found, lengths = [], [], []
-            for title, content in zip(titles.to_pylist(), contents.to_pylist()):
-                w = words(content)
-                ok = len(w) >= least_words
-                w = words(title) + w if ok else []
-                usable.append(ok)
-                lengths.append(len(w))
-                found.extend(w)
-            n = np.array(lengths)
-            h = hashes(found)
-            s = shingle_hashes(h, width)
-            owner = np.repeat(np.arange(len(n)), n)
-            inside = owner[: len(s)] == owner[len(owner) - len(s) :]  # first and last word are of one record
-            s, owner = s[inside], owner[: len(s)][inside]
-            order = np.lexsort((s, owner))
-            s, owner = s[order], owner[order]
-            fresh = np.ones(len(s), bool)
-            fresh[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
-            s, owner = s[fresh], owner[fresh]
-            ok = np.array(usable, bool)
-            # the class: an order-free hash of the set
-            total = np.zeros(len(n), np.uint64)
-            with np.errstate(over="ignore"):
-                np.add.at(total, owner, mix(s * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)))
-                cid = mix(total + np.bincount(owner, minlength=len(n)).astype(np.uint64)).view(np.int64)
-            k = len(n)
-            rows = [pa.array([None] * k, pa.int32()), pa.array([None] * k, pa.int32()), pa.array([None] * k, pa.binary())]
-            yield pa.RecordBatch.from_arrays([ids, loaded, pa.array(ok), pa.array(cid), *rows], ["document_id", "loaded_at", "usable", "cid", "grp", "block", "payload"])
-            # byte cells by group of positions; copies inside the batch are posted once
-            first = np.zeros(k, bool)
+            found = [_sequences(t, c, least_words) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            usable = np.array([w is not None for w in found], bool)
+            s, owner, cid = _sets([w or [] for w in found], hashes, width)
+            yield rows({"document_id": batch.column(0), "loaded_at": batch.column(3).cast(pa.timestamp("us", "UTC")), "usable": usable, "cid": cid})
+            # copies inside the slice are posted once
+            first = np.zeros(len(cid), bool)
             first[np.unique(cid, return_index=True)[1]] = True
-            keep = (first & ok)[owner]
+            keep = (first & usable)[owner]
             s, owner = s[keep], owner[keep]
-            grp = (mix(s) % np.uint64(groups)).astype(np.int64)
-            cell = (s >> np.uint64(32)).astype(np.uint32)  # 24 bits of position, 8 bits of byte
-            block = (cid.view(np.uint64) >> np.uint64(7)) % np.uint64(blocks)
-            part = grp * blocks + block[owner].astype(np.int64)
-            order = np.lexsort((cell, owner, part))
-            part, owner, cell = part[order], owner[order], cell[order]
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.array([], int)
+            size = np.bincount(owner, minlength=len(cid)).astype(np.int32)
+            bucket = (mix(s) % np.uint64(buckets)).astype(np.int64)
+            cell = (s >> np.uint64(32)).astype(np.uint32)  # 24 bits of position, 8 bits of byte, in the space of the bucket
+            order = np.lexsort((cell, owner, bucket))
+            bucket, owner, cell = bucket[order], owner[order], cell[order]
+            fresh = np.ones(len(cell), bool)
+            fresh[1:] = (cell[1:] != cell[:-1]) | (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])
+            merged = np.bincount(owner[~fresh], minlength=len(cid)).astype(np.int32)
+            bucket, owner, cell = bucket[fresh], owner[fresh], cell[fresh]
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.array([], int)
             out = []
-            for a, b in zip(cuts, [*cuts[1:], len(part)]):
-                o, c = owner[a:b], cell[a:b]
-                starts = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
-                sizes = np.diff(np.r_[starts, len(o)])
-                new = np.r_[True, (o[1:] != o[:-1]) | (c[1:] != c[:-1])]
-                merged = np.minimum(np.add.reduceat((~new).astype(np.int64), starts), 255)
-                out.append((int(part[a]) // blocks, int(part[a]) % blocks, _pack(cid[o[starts]], sizes, merged, c[new])))
+            for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
+                at = np.flatnonzero(np.r_[True, owner[a + 1 : b] != owner[a : b - 1]])
+                who = owner[a:b][at]
+                out.append((int(bucket[a]), b - a, _pack(cid[who], size[who], merged[who], np.diff(np.r_[at, b - a]).astype(np.int32), cell[a:b])))
             if out:
-                m = len(out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([None] * m, pa.string()), pa.array([None] * m, loaded.type), pa.array([None] * m, pa.bool_()), pa.array([None] * m, pa.int64()), *[pa.array(list(x), t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))]],
-                    ["document_id", "loaded_at", "usable", "cid", "grp", "block", "payload"],
-                )
+                yield rows(dict(zip(("bucket", "cells", "payload"), map(list, zip(*out)))))
 
     return run
 
 
-class _Group:
-    """The records of a task: sizes, and their cells as one sorted table."""
-
-    def __init__(self, payloads) -> None:
-        parts = [_unpack(p) for p in payloads]
-        cids = np.concatenate([p[0] for p in parts])
-        sizes = np.concatenate([p[1] for p in parts]).astype(np.int64)
-        merged = np.concatenate([p[2] for p in parts]).astype(np.int64)
-        cells = np.concatenate([p[3] for p in parts])
-        held = sizes - merged
-        start = np.r_[0, np.cumsum(held)[:-1]]
-        self.cid, at = np.unique(cids, return_index=True)  # copies from other batches are left out
-        self.size, self.merged, self.held = sizes[at], merged[at], held[at]
-        take = np.repeat(start[at] - np.r_[0, np.cumsum(self.held)[:-1]], self.held) + np.arange(self.held.sum())
-        self.cell = cells[take]
-        self.start = np.r_[0, np.cumsum(self.held)]
-        self.owner = np.repeat(np.arange(len(self.cid)), self.held)
-
-    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Shared positional bytes of each pair, over all their cells."""
-        out = np.zeros(len(a), np.int64)
-        key = self.owner.astype(np.uint64) << np.uint64(32) | self.cell  # sorted: by owner, then cell
-        for lo in range(0, len(a), 50_000):
-            x, y = a[lo : lo + 50_000], b[lo : lo + 50_000]
-            n = self.held[x]
-            pair = np.repeat(np.arange(len(x)), n)
-            c = self.cell[np.repeat(self.start[x] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-            want = y[pair].astype(np.uint64) << np.uint64(32) | c
-            at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
-            if len(key):
-                out[lo : lo + 50_000] = np.bincount(pair[key[at] == want], minlength=len(x))
-        return out
-
-
-def _tally(token: np.ndarray, owner: np.ndarray, side: np.ndarray | None, n: int, least: int, step: int = 1_000_000) -> np.ndarray:
-    """Codes a * n + b, a < b, of pairs that share `least` tokens or more.
-
-    Records are walked in order, each with the later partners in all its lists, so that a piece of some `step` matches
-    is tallied to the end and what falls short is forgotten at once.
-    """
-    order = np.lexsort((owner, token))
-    t, o = token[order], owner[order]
-    if not len(t):
-        return np.array([], np.int64)
-    starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-    sizes = np.diff(np.r_[starts, len(t)])
-    later = np.repeat(starts + sizes, sizes) - np.arange(len(t)) - 1
-    entry = np.argsort(o, kind="stable")
-    first = np.flatnonzero(np.r_[True, o[entry][1:] != o[entry][:-1]])  # entries of a record stay together
-    done = np.r_[0, np.cumsum(later[entry])]
-    cuts, out, lo = np.r_[first, len(entry)], [], 0
-    while lo < len(first):
-        hi = max(lo + 1, int(np.searchsorted(done[cuts], done[cuts[lo]] + step, "right")) - 1)
-        e = entry[cuts[lo] : cuts[hi]]
-        m = later[e]
-        left = np.repeat(e, m)
-        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
-        x, y = o[left], o[right]
-        if side is not None:
-            other = side[x] != side[y]
-            x, y = x[other], y[other]
-        codes, counts = np.unique(x.astype(np.int64) * n + y, return_counts=True)
-        out.append(codes[counts >= least])
-        lo = hi
-    return np.concatenate(out)
-
-
-def _local_join(similarity: float, shared: int):
-    share = similarity / (1 + similarity)
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads of buckets of several shares, by share: the last array of a payload holds items of the records, as the last but one counts."""
+    for batch in batches:
+        out = []
+        for bucket, shares, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            if shares == 1:
+                out.append((bucket, 0, raw))
+                continue
+            *of, held, items = _unpack(raw)
+            start = np.cumsum(held) - held
+            mine = _share(of[0], shares)
+            for i in np.unique(mine):
+                at = mine == i
+                out.append((bucket, int(i), _pack(*(x[at] for x in of), held[at], items[_spread(held[at].astype(np.int64), start[at])])))
+        columns = list(zip(*out)) if out else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "share", "payload"])
+
+
+def _gather(payloads) -> tuple[np.ndarray, ...]:
+    """cid, size, merged, held and cells of the records of a share; copies from other slices are left out."""
+    parts = [_unpack(p) for p in payloads]
+    cid, size, merged, held, cell = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    start = np.cumsum(held.astype(np.int64)) - held
+    cid, at = np.unique(cid, return_index=True)
+    held = held[at].astype(np.int64)
+    return cid, size[at], merged[at], held, cell[_spread(held, start[at])]
+
+
+def _count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The cells of a share, with the number of its records that have them."""
+    cell, n = np.unique(_gather(rows["payload"])[4], return_counts=True)
+    return pd.DataFrame({"bucket": [key[0]], "payload": [_pack(cell, n.astype(np.int64))]})
+
+
+def _sum(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The cells of a bucket that more than one record has, with their number of records."""
+    parts = [_unpack(p) for p in rows["payload"]]
+    cell, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+    return pd.DataFrame({"bucket": [key[0]], "payload": [_pack(cell[n > 1], n[n > 1])]})
+
+
+def _shared_cells(groups: int):
+    """Of a share, by group of records, the cells that other records have, too: cid, size, merged, cells here, shared ones, cells and records."""
+
+    def run(key: tuple, rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"bucket": [], "cells": [], "grp": [], "payload": []}).astype({"bucket": "int32", "cells": "int32", "grp": "int32", "payload": "object"})
+        if not len(rows):
+            return none
+        cid, size, merged, held, cell = _gather(rows["payload"])
+        if len(counts):  # of a bucket of several shares
+            known, n = _unpack(counts["payload"].iloc[0])
+            at = np.minimum(np.searchsorted(known, cell), max(len(known) - 1, 0))
+            n = np.where(known[at] == cell, n[at], 1) if len(known) else np.ones(len(cell), np.int64)
+        else:
+            _, at, n = np.unique(cell, return_inverse=True, return_counts=True)
+            n = n[at]
+        owner = np.repeat(np.arange(len(cid)), held)
+        several = n > 1
+        shared = np.bincount(owner[several], minlength=len(cid))
+        cell, n = cell[several], n[several]
+        start = np.cumsum(shared) - shared
+        grp = _share(cid, groups)
+        out = []
+        for g in np.unique(grp):
+            at = np.flatnonzero(grp == g)
+            of = _spread(shared[at], start[at])
+            out.append((key[0], len(of), int(g), _pack(cid[at], size[at], merged[at], held[at].astype(np.int32), shared[at].astype(np.int32), cell[of], n[of].astype(np.int32))))
+        return pd.DataFrame(out, columns=["bucket", "cells", "grp", "payload"])
+
+    return run
+
+
+def _prefixes(similarity: float, shared: int):
+    """Of a group of records, by bucket, the postings: cid, size, the least number of matches, number and cells."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = key[1], key[2]
-        g = _Group(rows["payload"])
-        side = None
-        if left != right:
-            side = np.isin(g.cid, np.concatenate([_unpack(p)[0] for p in rows.loc[rows["block"] == left, "payload"]]))
-        slack = 2 * int(g.merged.max(initial=0))
-        _, token, count = np.unique(g.cell, return_inverse=True, return_counts=True)
-        order = np.lexsort((g.cell, count[token], g.owner))
-        place = np.arange(len(order)) - np.repeat(g.start[:-1], g.held)
-        # a pair at the minimum shares ceil(t * n) of a record's n sequences in the group
-        must = np.maximum(1, np.ceil(similarity * g.size - 1e-9).astype(np.int64) - slack)
-        least = np.minimum(shared, must)
-        posted = (place < np.repeat(g.held - must + least, g.held)) & (count[token[order]] > 1)
-        codes = _tally(token[order][posted], g.owner[posted], side, max(1, len(g.cid)), shared)
-        if (least < shared).any():  # two records whose minima are below `shared` need fewer matches; they post all bytes
-            few = posted & np.repeat(least < shared, g.held)
-            codes = np.union1d(codes, _tally(token[order][few], g.owner[few], side, max(1, len(g.cid)), 1))
-        a, b = codes // max(1, len(g.cid)), codes % max(1, len(g.cid))
-        fits = np.minimum(g.size[a], g.size[b]) + 2 * slack >= similarity * np.maximum(g.size[a], g.size[b]) - 1e-9
-        a, b = a[fits], b[fits]
-        enough = g.shared(a, b) + g.merged[a] + g.merged[b] >= share * (g.size[a] + g.size[b]) - 1e-9
-        return pd.DataFrame({"a": g.cid[a[enough]], "b": g.cid[b[enough]]})
+        parts = [_unpack(p) for p in rows["payload"]]
+        cid = np.concatenate([p[0] for p in parts])
+        known, first, who = np.unique(cid, return_index=True, return_inverse=True)
+        size, merged = (np.concatenate([p[i] for p in parts])[first].astype(np.int64) for i in (1, 2))
+        here, there = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (3, 4))
+        owner = np.repeat(who, there)
+        bucket = np.repeat(np.repeat(rows["bucket"].to_numpy(), [len(p[0]) for p in parts]), there)
+        cell, n = (np.concatenate([p[i] for p in parts]) for i in (5, 6))
+        held = np.bincount(who, here, len(known)).astype(np.int64)
+        own = held - np.bincount(who, there, len(known)).astype(np.int64)  # cells of no other record come first
+        need = np.maximum(1, np.ceil(similarity * size - 1e-9).astype(np.int64) - merged)
+        least = np.minimum(shared, need)
+        order = np.lexsort((cell, bucket, n, owner))
+        owner, bucket, cell = owner[order], bucket[order], cell[order]
+        begin = np.searchsorted(owner, np.arange(len(known)))
+        place = np.arange(len(owner)) - begin[owner] + own[owner]
+        posted = (place < (held - need + least)[owner]) & (held - own >= need)[owner]
+        owner, bucket, cell = owner[posted], bucket[posted], cell[posted]
+        order = np.lexsort((cell, owner, bucket))
+        owner, bucket, cell = owner[order], bucket[order], cell[order]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.array([], int)
+        out = []
+        for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
+            at = np.flatnonzero(np.r_[True, owner[a + 1 : b] != owner[a : b - 1]])
+            w = owner[a:b][at]
+            out.append((int(bucket[a]), b - a, _pack(known[w], size[w].astype(np.int32), least[w].astype(np.int32), np.diff(np.r_[at, b - a]).astype(np.int32), cell[a:b])))
+        return pd.DataFrame(out, columns=["bucket", "cells", "payload"]).astype({"bucket": "int32", "cells": "int32"})
+
+    return run
+
+
+def _tally(similarity: float, step: int = 2_000_000):
+    """Of a share or a pair of shares of a bucket, how many cells its pairs of records have in common: a < b, n, least.
+
+    Records are walked in order, each with the later partners in all its lists, in pieces of some `step` matches, so that
+    memory is bounded; what a pair shares in this bucket is summed before it is passed on.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames))
+        cid, size, least, held, cell = _gather(rows["payload"])
+        side = rows["share"].nunique() > 1
+        shares = _share(cid, int(rows["shares"].iloc[0])) if side else None
+        owner = np.repeat(np.arange(len(cid)), held)
+        order = np.lexsort((owner, cell))
+        t, o = cell[order], owner[order]
+        starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.array([], int)
+        sizes = np.diff(np.r_[starts, len(t)])
+        later = np.repeat(starts + sizes, sizes) - np.arange(len(t)) - 1
+        entry = np.argsort(o, kind="stable")
+        entry = entry[later[entry] > 0]
+        first = np.flatnonzero(np.r_[True, o[entry][1:] != o[entry][:-1]]) if len(entry) else np.array([], int)
+        cuts, done, lo = np.r_[first, len(entry)], np.r_[0, np.cumsum(later[entry])], 0
+        out, waiting = [], 0
+        while lo < len(first):
+            hi = max(lo + 1, int(np.searchsorted(done[cuts], done[cuts[lo]] + step, "right")) - 1)
+            e = entry[cuts[lo] : cuts[hi]]
+            m = later[e]
+            left = np.repeat(e, m)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
+            x, y = o[left], o[right]
+            fits = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9
+            if side:
+                fits &= shares[x] != shares[y]
+            codes, n = np.unique(x[fits].astype(np.int64) * len(cid) + y[fits], return_counts=True)
+            a, b = codes // len(cid), codes % len(cid)
+            out.append(pd.DataFrame({"a": cid[a], "b": cid[b], "n": n.astype(np.int32), "least": np.minimum(least[a], least[b])}))
+            waiting += len(codes)
+            if waiting > step:
+                yield pd.concat(out)
+                out, waiting = [], 0
+            lo = hi
+        if out:
+            yield pd.concat(out)
 
     return run
 
 
-def _verify(key: tuple, cells: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-    if not len(cells) or not len(pairs):
-        return pd.DataFrame({"a": [], "b": [], "shared": [], "size_a": [], "size_b": []}).astype("int64")
-    g = _Group(cells["payload"])
-    ends = []
-    for c in ("a", "b"):
-        x = pairs[c].to_numpy()
-        at = np.minimum(np.searchsorted(g.cid, x), len(g.cid) - 1)
-        ends.append((at, g.cid[at] == x))
-    (a, has_a), (b, has_b) = ends
-    both = has_a & has_b
-    shared = np.zeros(len(pairs), np.int64)
-    shared[both] = g.shared(a[both], b[both])
-    return pd.DataFrame({"a": pairs["a"], "b": pairs["b"], "shared": shared, "size_a": np.where(has_a, g.held[a], 0), "size_b": np.where(has_b, g.held[b], 0)})
+def _again(width: int, least_words: int):
+    """cid and the 64-bit sequences of records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
+            found = [_sequences(t, c, least_words) or [] for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            s, owner, cid = _sets(found, hashes, width)
+            ends = np.cumsum(np.bincount(owner, minlength=len(found)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cid), pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(s.view(np.int64)))], ["wanted", "cid", "sequences"])
+
+    return run
 
 
 class NearDuplicates:
@@ -239,28 +312,47 @@ class NearDuplicates:
     results. Columns other than the four are ignored, whatever their names.
     """
 
-    def __init__(self, documents: DataFrame, similarity: float = 0.5, width: int = 3, least_words: int = 20, groups: int = GROUPS, block_records: int = BLOCK_RECORDS, shared: int = 3) -> None:
+    def __init__(self, documents: DataFrame, similarity: float = 0.5, width: int = 3, least_words: int = 20, shared: int = 3, bucket_records: int = BUCKET_RECORDS, bucket_cells: int = BUCKET_CELLS) -> None:
         if not 0 < similarity <= 1:
             raise ValueError("similarity must be above 0 and at most 1")
-        blocks = max(1, math.ceil(documents.count() / block_records))
+        buckets = max(8, math.ceil(documents.count() / bucket_records))
         texts = documents.select("document_id", "title", "content", "loaded_at")
-        prints = materialize(texts.mapInArrow(_fingerprint(width, least_words, groups, blocks), _FINGERPRINT), "prints")
+        prints = materialize(texts.mapInArrow(_fingerprint(width, least_words, buckets), _PRINT), "prints")
         latest = F.max(F.struct("loaded_at", "usable", "cid")).alias("last")
-        self.members = prints.where("payload IS NULL").groupBy("document_id").agg(latest).where("last.usable").select("document_id", F.col("last.cid").alias("cid"))
-        cells = prints.where("payload IS NOT NULL").select("grp", "block", "payload")
-        # each pair of blocks meets in one task a group
-        mine, every = F.col("block"), F.sequence(F.lit(0), F.lit(blocks - 1))
+        self.members = materialize(prints.where("payload IS NULL").groupBy("document_id").agg(latest).where("last.usable").select("document_id", F.col("last.cid").alias("cid")), "members")
+
+        def shares(packed: DataFrame) -> DataFrame:
+            """bucket, share, shares, payload: buckets of too many cells in several shares of their records."""
+            long = packed.groupBy("bucket").agg(F.sum("cells").alias("n")).where(F.col("n") > bucket_cells)
+            long = materialize(long.select("bucket", F.ceil(F.col("n") / bucket_cells).cast("int").alias("shares")), "long")
+            known = packed.join(long, "bucket", "left").select("bucket", F.coalesce("shares", F.lit(1)).alias("shares"), "payload")
+            return known.mapInArrow(_split, "bucket int, share int, payload binary").join(long, "bucket", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+
+        cells = shares(prints.where("payload IS NOT NULL").select("bucket", "cells", "payload"))
+        counts = cells.where("shares > 1").groupBy("bucket", "share").applyInPandas(_count, "bucket int, payload binary").groupBy("bucket").applyInPandas(_sum, "bucket int, payload binary")
+        counts = counts.join(cells.where("shares > 1").select("bucket", "share").distinct(), "bucket").select(F.col("bucket").alias("of"), F.col("share").alias("part"), F.col("payload").alias("counted"))
+        renamed = counts.select("of", "part", F.col("counted").alias("payload"))
+        common = cells.groupBy("bucket", "share").cogroup(renamed.groupBy("of", "part")).applyInPandas(_shared_cells(buckets), "bucket int, cells int, grp int, payload binary")
+        posted = materialize(common.groupBy("grp").applyInPandas(_prefixes(similarity, shared), _PACKED), "posted")
+
+        lists = shares(posted)
+        every, mine = F.sequence(F.lit(0), F.col("shares") - 1), F.col("share")
         meets = F.transform(every, lambda j: F.struct(F.least(mine, j).alias("x"), F.greatest(mine, j).alias("y")))
-        tasks = cells.select("*", F.explode(meets).alias("m")).select("grp", "block", "payload", "m.x", "m.y") if blocks > 1 else cells.select("*", F.lit(0).alias("x"), F.lit(0).alias("y"))
-        retained = tasks.groupBy("grp", "x", "y").applyInPandas(_local_join(similarity, shared), "a long, b long").distinct()
+        met = lists.select("bucket", "share", "shares", "payload", F.explode(meets).alias("m")).select("bucket", "m.x", "m.y", "share", "shares", "payload")
+        tallied = met.groupBy("bucket", "x", "y").applyInPandas(_tally(similarity), "a long, b long, n int, least int")
+        retained = tallied.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where(F.col("n") >= F.col("least")).select("a", "b")
         retained = materialize(retained, "retained")
-        # a task of the second pass holds one block and the block of its partner
-        block = lambda c: F.pmod(F.shiftrightunsigned(c, 7), F.lit(blocks)).cast("int")
-        spread = retained.select("a", "b", F.least(block("a"), block("b")).alias("x"), F.greatest(block("a"), block("b")).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-        tallies = tasks.groupBy("grp", "x", "y").cogroup(spread.groupBy("grp", "x", "y")).applyInPandas(_verify, "a long, b long, shared long, size_a long, size_b long")
-        summed = tallies.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("shared", "size_a", "size_b")])
-        reached = (F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("similarity")
-        self.class_pairs = materialize(summed.select("a", "b", reached).where(F.col("similarity") >= similarity), "pairs")
+
+        # one record of each class that is in a retained pair is read again, and its sequences compared
+        ends = retained.select(F.col("a").alias("cid")).unionByName(retained.select(F.col("b").alias("cid"))).distinct()
+        one = self.members.groupBy("cid").agg(F.min("document_id").alias("document_id")).join(ends, "cid", "left_semi").select("document_id", F.col("cid").alias("wanted"))
+        read = texts.join(one, "document_id").select("wanted", "title", "content").mapInArrow(_again(width, least_words), "wanted long, cid long, sequences array<long>")
+        whole = materialize(read.where("wanted = cid").dropDuplicates(["cid"]).select("cid", "sequences"), "sequences")
+        left, right = (whole.select(F.col("cid").alias(c), F.col("sequences").alias(f"s{c}")) for c in ("a", "b"))
+        both = retained.join(left, "a").join(right, "b")
+        n = F.size(F.array_intersect("sa", "sb"))
+        reached = (n / (F.size("sa") + F.size("sb") - n)).alias("similarity")
+        self.class_pairs = materialize(both.select("a", "b", reached).where(F.col("similarity") >= similarity - 1e-12), "pairs")
 
     def pairs(self) -> DataFrame:
         """document_id_a, document_id_b: all pairs of different records, the smaller id in byte order first.

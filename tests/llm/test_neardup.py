@@ -2,10 +2,11 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from shardloom.llm.lexing import words
-from shardloom.llm.neardup import NearDuplicates, _tally, components
+from shardloom.llm.neardup import NearDuplicates, _pack, _tally, _unpack, components
 
 SCHEMA = "document_id string, title string, content string, loaded_at timestamp, cid long, payload string"
 T = dt.datetime(2025, 1, 1)
@@ -43,10 +44,11 @@ def corpus(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("seed,blocks,groups,similarity", [(1, 10_000, 16, 0.5), (2, 40, 16, 0.5), (3, 10_000, 3, 0.5), (4, 50, 8, 0.8)])
-def test_equals_brute_force(spark, seed, blocks, groups, similarity):
+@pytest.mark.parametrize("seed,records,cells,similarity", [(1, 4_000, 8_000_000, 0.5), (2, 8, 8_000_000, 0.5), (3, 4_000, 150, 0.5), (4, 10, 100, 0.8)])
+def test_equals_brute_force(spark, seed, records, cells, similarity):
+    """Few buckets and many, whole ones and ones in shares."""
     rows = corpus(seed)
-    near = NearDuplicates(frame(spark, rows + rows[:15]).repartition(5), similarity=similarity, groups=groups, block_records=blocks)
+    near = NearDuplicates(frame(spark, rows + rows[:15]).repartition(5), similarity=similarity, bucket_records=records, bucket_cells=cells)
     want = brute(rows, similarity)
     assert {tuple(r) for r in near.pairs().collect()} == want
     if seed == 1:
@@ -97,12 +99,39 @@ def test_hot_group_of_copies(spark):
 
 def test_tally_in_steps():
     rng = np.random.default_rng(0)
-    token, owner = rng.integers(0, 30, 500), rng.integers(0, 40, 500)
-    pairs = np.unique(np.stack([token, owner]), axis=1)
-    full = _tally(pairs[0], pairs[1], None, 40, 3)
-    assert np.array_equal(np.sort(full), np.sort(_tally(pairs[0], pairs[1], None, 40, 3, step=5)))
-    held = {o: set(pairs[0][pairs[1] == o]) for o in range(40)}
-    assert set(full) == {a * 40 + b for a in range(40) for b in range(a + 1, 40) if len(held[a] & held[b]) >= 3}
+    held = [np.unique(rng.integers(0, 30, rng.integers(1, 20))).astype(np.uint32) for _ in range(40)]
+    cid, size = np.arange(40, dtype=np.int64) * 1000, np.full(40, 20, np.int32)
+    raw = _pack(cid, size, np.full(40, 3, np.int32), np.array([len(h) for h in held], np.int32), np.concatenate(held))
+    rows = pd.DataFrame({"payload": [raw, raw], "share": 0, "shares": 1})
+    want = {(a * 1000, b * 1000): len(np.intersect1d(held[a], held[b])) for a in range(40) for b in range(a + 1, 40) if len(np.intersect1d(held[a], held[b]))}
+    for step in (5, 1_000_000):
+        got = {}
+        for part in _tally(0.5, step)((0, 0, 0), iter([rows])):
+            for a, b, n, least in zip(part["a"], part["b"], part["n"], part["least"]):
+                got[a, b] = got.get((a, b), 0) + n
+                assert least == 3
+        assert got == want
+
+
+def test_packing():
+    arrays = [np.arange(3, dtype=np.int64), np.array([], np.int32), np.array([7], np.uint32)]
+    assert all(np.array_equal(a, b) and a.dtype == b.dtype for a, b in zip(arrays, _unpack(_pack(*arrays))))
+
+
+def test_hot_cells_in_shares(spark):
+    """Texts of their own that all hold one passage, and a third of all that differ by a word."""
+    rng = random.Random(4)
+    common = " ".join(f"c{i}" for i in range(12))
+    base = [f"b{i}" for i in range(40)]
+    rows = []
+    for i in range(90):
+        own = [f"o{i}x{j}" for j in range(40)] if i % 3 else [*base[: i % 40], f"e{i}", *base[i % 40 + 1 :]]
+        rows.append((f"d{i:02d}", None, " ".join(own) + " " + common))
+    rng.shuffle(rows)
+    want = brute(rows)
+    assert len(want) == 30 * 29 / 2
+    for cells in (60, 8_000_000):
+        assert {tuple(r) for r in NearDuplicates(frame(spark, rows).repartition(3), bucket_cells=cells).pairs().collect()} == want
 
 
 def test_components_of_a_chain(spark):
