@@ -8,8 +8,9 @@ Guarantee. Let A be a record of |A| sequences of which m(A) fell on a cell of an
 more shares at least t * |A| sequences with it, hence at least need(A) = ceil(t * |A|) - m(A) cells. Order all cells from
 rare to frequent, by the number of records that have them. If two sets share k cells, then their first
 |cells| - k + c cells share at least min(c, k). So a pair at the threshold shares at least min(`shared`, need(A), need(B))
-cells among the first |cells| - need + `shared` cells of each record: only these are posted, pairs are tallied over all
-lists, and pairs that reach that minimum are retained. Cells that no other record has come first in the order and are
+cells among the first |cells| - need + `shared` cells of each record: only these are posted. For two given records the
+same holds with must(A, B) = ceil(t / (1 + t) * (|A| + |B|)) - min(m(A), m(B)), which is at least need, in the place of need,
+so that fewer cells count. Pairs are tallied over all lists, and those that reach the minimum are retained. Cells that no other record has come first in the order and are
 never posted; records of which too many cells are their own have nothing posted at all. Retained pairs are verified on
 the 64-bit sequences themselves.
 
@@ -206,7 +207,7 @@ def _shared_cells(groups: int):
 
 
 def _prefixes(similarity: float, shared: int):
-    """Of a group of records, by bucket, the postings: cid, size, the least number of matches, number and cells."""
+    """Of a group of records, by bucket, the postings: cid, size, merged, number, and cells under their places in the order."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(p) for p in rows["payload"]]
@@ -226,35 +227,41 @@ def _prefixes(similarity: float, shared: int):
         begin = np.searchsorted(owner, np.arange(len(known)))
         place = np.arange(len(owner)) - begin[owner] + own[owner]
         posted = (place < (held - need + least)[owner]) & (held - own >= need)[owner]
-        owner, bucket, cell = owner[posted], bucket[posted], cell[posted]
-        order = np.lexsort((cell, owner, bucket))
+        owner, bucket, cell = owner[posted], bucket[posted], place[posted].astype(np.uint64) << np.uint64(32) | cell[posted]
+        order = np.lexsort((owner, bucket))
         owner, bucket, cell = owner[order], bucket[order], cell[order]
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.array([], int)
         out = []
         for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
             at = np.flatnonzero(np.r_[True, owner[a + 1 : b] != owner[a : b - 1]])
             w = owner[a:b][at]
-            out.append((int(bucket[a]), b - a, _pack(known[w], size[w].astype(np.int32), least[w].astype(np.int32), np.diff(np.r_[at, b - a]).astype(np.int32), cell[a:b])))
+            out.append((int(bucket[a]), b - a, _pack(known[w], size[w].astype(np.int32), (size - held)[w].astype(np.int32), np.diff(np.r_[at, b - a]).astype(np.int32), cell[a:b])))
         return pd.DataFrame(out, columns=["bucket", "cells", "payload"]).astype({"bucket": "int32", "cells": "int32"})
 
     return run
 
 
-def _tally(similarity: float, step: int = 2_000_000):
+def _tally(similarity: float, shared: int, step: int = 2_000_000):
     """Of a share or a pair of shares of a bucket, how many cells its pairs of records have in common: a < b, n, least.
 
+    Cells count only up to the places that the sizes of the two records leave: |cells| - must + `shared`.
+
     Records are walked in order, each with the later partners in all its lists, in pieces of some `step` matches, so that
     memory is bounded; what a pair shares in this bucket is summed before it is passed on.
     """
 
+    portion = similarity / (1 + similarity)
+
     def run(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames))
-        cid, size, least, held, cell = _gather(rows["payload"])
+        cid, size, merged, held, cell = _gather(rows["payload"])
+        size, merged = size.astype(np.int64), merged.astype(np.int64)
+        place, cell = (cell >> np.uint64(32)).astype(np.int64), cell.astype(np.uint32)
         side = rows["share"].nunique() > 1
         shares = _share(cid, int(rows["shares"].iloc[0])) if side else None
         owner = np.repeat(np.arange(len(cid)), held)
         order = np.lexsort((owner, cell))
-        t, o = cell[order], owner[order]
+        t, o, place = cell[order], owner[order], place[order]
         starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.array([], int)
         sizes = np.diff(np.r_[starts, len(t)])
         later = np.repeat(starts + sizes, sizes) - np.arange(len(t)) - 1
@@ -270,12 +277,16 @@ def _tally(similarity: float, step: int = 2_000_000):
             left = np.repeat(e, m)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
             x, y = o[left], o[right]
-            fits = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9
+            both = size[x] + size[y]
+            must = np.maximum(1, np.ceil(portion * both - 1e-9).astype(np.int64) - np.minimum(merged[x], merged[y]))
+            spare = np.minimum(shared, must) - must  # beyond these places a shared cell says nothing about the pair
+            fits = (place[left] < size[x] - merged[x] + spare) & (place[right] < size[y] - merged[y] + spare)
+            fits &= np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9
             if side:
                 fits &= shares[x] != shares[y]
             codes, n = np.unique(x[fits].astype(np.int64) * len(cid) + y[fits], return_counts=True)
             a, b = codes // len(cid), codes % len(cid)
-            out.append(pd.DataFrame({"a": cid[a], "b": cid[b], "n": n.astype(np.int32), "least": np.minimum(least[a], least[b])}))
+            out.append(pd.DataFrame({"a": cid[a], "b": cid[b], "n": n.astype(np.int32), "least": np.minimum(shared, np.maximum(1, np.ceil(portion * (size[a] + size[b]) - 1e-9).astype(np.int64) - np.minimum(merged[a], merged[b]))).astype(np.int32)}))
             waiting += len(codes)
             if waiting > step:
                 yield pd.concat(out)
@@ -339,7 +350,7 @@ class NearDuplicates:
         every, mine = F.sequence(F.lit(0), F.col("shares") - 1), F.col("share")
         meets = F.transform(every, lambda j: F.struct(F.least(mine, j).alias("x"), F.greatest(mine, j).alias("y")))
         met = lists.select("bucket", "share", "shares", "payload", F.explode(meets).alias("m")).select("bucket", "m.x", "m.y", "share", "shares", "payload")
-        tallied = met.groupBy("bucket", "x", "y").applyInPandas(_tally(similarity), "a long, b long, n int, least int")
+        tallied = met.groupBy("bucket", "x", "y").applyInPandas(_tally(similarity, shared), "a long, b long, n int, least int")
         retained = tallied.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where(F.col("n") >= F.col("least")).select("a", "b")
         retained = materialize(retained, "retained")
 

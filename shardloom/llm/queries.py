@@ -100,7 +100,7 @@ w AS (SELECT document_id, list_concat(t, c) AS w FROM d WHERE len(c) >= 20),
 s AS (SELECT DISTINCT document_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS g FROM w),
 n AS (SELECT document_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.document_id AS document_id_a, b.document_id AS document_id_b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.document_id < b.document_id GROUP BY ALL),
-similar AS (SELECT document_id_a, document_id_b FROM p JOIN n x ON x.document_id = document_id_a JOIN n y ON y.document_id = document_id_b WHERE 2 * o >= x.n + y.n - o)"""
+near AS (SELECT document_id_a, document_id_b FROM p JOIN n x ON x.document_id = document_id_a JOIN n y ON y.document_id = document_id_b WHERE 2 * o >= x.n + y.n - o)"""
 _LEAKED = f"""WITH i AS (SELECT item_id, {_WORDS.format('text')} AS w FROM eval_items WHERE item_id IS NOT NULL),
 g AS (SELECT DISTINCT item_id, least(12, len(w)) AS n, unnest([array_to_string(w[j : j + least(12, len(w)) - 1], ' ') FOR j IN range(1, len(w) - least(12, len(w)) + 2)]) AS g FROM i WHERE len(w) > 0),
 t AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
@@ -114,9 +114,9 @@ o AS (SELECT *, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS w, regexp_extra
 SELECT doc_id, item_id, (coalesce(list_sum([length(z) FOR z IN w[1 : a - 1]]), 0) + coalesce(list_sum([length(z) FOR z IN s[1 : a - 1 + lead]]), 0))::INT AS start_char,
 (list_sum([length(z) FOR z IN w[1 : b]]) + coalesce(list_sum([length(z) FOR z IN s[1 : b - 1 + lead]]), 0))::INT AS end_char, (b - a + 1)::INT AS n_words FROM o""",
     "p1_found": f"""{_PAIRS}
-SELECT document_id_a, document_id_b FROM similar""",
+SELECT document_id_a, document_id_b FROM near""",
     "p1_groups": f"""{_PAIRS},
-e AS (SELECT document_id_a AS a, document_id_b AS b FROM similar UNION ALL SELECT document_id_b, document_id_a FROM similar),
+e AS (SELECT document_id_a AS a, document_id_b AS b FROM near UNION ALL SELECT document_id_b, document_id_a FROM near),
 r AS (SELECT document_id, document_id AS g FROM w UNION SELECT r.document_id, e.b FROM r JOIN e ON r.g = e.a),
 k AS (SELECT a, count(*) AS links FROM e GROUP BY a)
 SELECT document_id, min(g) AS group_id, coalesce(any_value(links), 0) AS links FROM r LEFT JOIN k ON k.a = document_id GROUP BY document_id""",

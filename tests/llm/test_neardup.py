@@ -101,12 +101,12 @@ def test_tally_in_steps():
     rng = np.random.default_rng(0)
     held = [np.unique(rng.integers(0, 30, rng.integers(1, 20))).astype(np.uint32) for _ in range(40)]
     cid, size = np.arange(40, dtype=np.int64) * 1000, np.full(40, 20, np.int32)
-    raw = _pack(cid, size, np.full(40, 3, np.int32), np.array([len(h) for h in held], np.int32), np.concatenate(held))
+    raw = _pack(cid, size, np.zeros(40, np.int32), np.array([len(h) for h in held], np.int32), np.concatenate(held).astype(np.uint64))
     rows = pd.DataFrame({"payload": [raw, raw], "share": 0, "shares": 1})
     want = {(a * 1000, b * 1000): len(np.intersect1d(held[a], held[b])) for a in range(40) for b in range(a + 1, 40) if len(np.intersect1d(held[a], held[b]))}
     for step in (5, 1_000_000):
         got = {}
-        for part in _tally(0.5, step)((0, 0, 0), iter([rows])):
+        for part in _tally(0.5, 3, step)((0, 0, 0), iter([rows])):
             for a, b, n, least in zip(part["a"], part["b"], part["n"], part["least"]):
                 got[a, b] = got.get((a, b), 0) + n
                 assert least == 3
