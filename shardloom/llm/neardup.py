@@ -37,6 +37,10 @@ from shardloom.sources.scratch import materialize
 BUCKET_RECORDS = 4_000
 #: Cells of a bucket beyond which it is split into shares.
 BUCKET_CELLS = 8_000_000
+#: Matches that two records must have among their first cells; more mean longer lists and fewer pairs to verify.
+SHARED = 5
+#: So many records that are to be read again are looked up in a broadcast table of 8 bytes each; more are joined.
+AGAIN_ROWS = 1_000_000
 #: Records whose words a worker holds at once.
 SLICE_ROWS = 500
 _PRINT = "document_id string, loaded_at timestamp, usable boolean, cid long, bucket int, cells int, payload binary"
@@ -176,7 +180,10 @@ def _sum(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _shared_cells(groups: int):
-    """Of a share, by group of records, the cells that other records have, too: cid, size, merged, cells here, shared ones, cells and records."""
+    """Of a share, by group of records, the cells that other records have, too: cid, size, merged, cells here, shared ones, cells and ranks.
+
+    The rank is by the number of records, in eighths of a power of two; any order that is the same for all records will do.
+    """
 
     def run(key: tuple, rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"bucket": [], "cells": [], "grp": [], "payload": []}).astype({"bucket": "int32", "cells": "int32", "grp": "int32", "payload": "object"})
@@ -200,7 +207,7 @@ def _shared_cells(groups: int):
         for g in np.unique(grp):
             at = np.flatnonzero(grp == g)
             of = _spread(shared[at], start[at])
-            out.append((key[0], len(of), int(g), _pack(cid[at], size[at], merged[at], held[at].astype(np.int32), shared[at].astype(np.int32), cell[of], n[of].astype(np.int32))))
+            out.append((key[0], len(of), int(g), _pack(cid[at], size[at], merged[at], held[at].astype(np.int32), shared[at].astype(np.int32), cell[of], np.minimum(255, np.log2(n[of]) * 8).astype(np.uint8))))
         return pd.DataFrame(out, columns=["bucket", "cells", "grp", "payload"])
 
     return run
@@ -307,7 +314,7 @@ def _again(width: int, least_words: int):
             found = [_sequences(t, c, least_words) or [] for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             s, owner, cid = _sets(found, hashes, width)
             ends = np.cumsum(np.bincount(owner, minlength=len(found)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cid), pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(s.view(np.int64)))], ["wanted", "cid", "sequences"])
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(s.view(np.int64)))], ["cid", "sequences"])
 
     return run
 
@@ -323,7 +330,7 @@ class NearDuplicates:
     results. Columns other than the four are ignored, whatever their names.
     """
 
-    def __init__(self, documents: DataFrame, similarity: float = 0.5, width: int = 3, least_words: int = 20, shared: int = 3, bucket_records: int = BUCKET_RECORDS, bucket_cells: int = BUCKET_CELLS) -> None:
+    def __init__(self, documents: DataFrame, similarity: float = 0.5, width: int = 3, least_words: int = 20, shared: int = SHARED, bucket_records: int = BUCKET_RECORDS, bucket_cells: int = BUCKET_CELLS) -> None:
         if not 0 < similarity <= 1:
             raise ValueError("similarity must be above 0 and at most 1")
         buckets = max(8, math.ceil(documents.count() / bucket_records))
@@ -356,9 +363,11 @@ class NearDuplicates:
 
         # one record of each class that is in a retained pair is read again, and its sequences compared
         ends = retained.select(F.col("a").alias("cid")).unionByName(retained.select(F.col("b").alias("cid"))).distinct()
-        one = self.members.groupBy("cid").agg(F.min("document_id").alias("document_id")).join(ends, "cid", "left_semi").select("document_id", F.col("cid").alias("wanted"))
-        read = texts.join(one, "document_id").select("wanted", "title", "content").mapInArrow(_again(width, least_words), "wanted long, cid long, sequences array<long>")
-        whole = materialize(read.where("wanted = cid").dropDuplicates(["cid"]).select("cid", "sequences"), "sequences")
+        one = self.members.groupBy("cid").agg(F.min("document_id").alias("document_id")).join(ends, "cid", "left_semi").select(F.xxhash64("document_id").alias("h"))
+        one = materialize(one.distinct(), "again")
+        one = F.broadcast(one) if one.count() <= AGAIN_ROWS else one
+        read = texts.withColumn("h", F.xxhash64("document_id")).join(one, "h", "left_semi").select("document_id", "title", "content")
+        whole = read.mapInArrow(_again(width, least_words), "cid long, sequences array<long>").repartition("cid").dropDuplicates(["cid"])
         left, right = (whole.select(F.col("cid").alias(c), F.col("sequences").alias(f"s{c}")) for c in ("a", "b"))
         both = retained.join(left, "a").join(right, "b")
         n = F.size(F.array_intersect("sa", "sb"))
