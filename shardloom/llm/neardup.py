@@ -34,7 +34,7 @@ from shardloom.llm.lexing import WordHashes, mix, shingle_hashes, words
 from shardloom.sources.scratch import materialize
 
 #: Records whose cells make up a bucket, on the average.
-BUCKET_RECORDS = 4_000
+BUCKET_RECORDS = 10_000
 #: Cells of a bucket beyond which it is split into shares.
 BUCKET_CELLS = 8_000_000
 #: Matches that two records must have among their first cells; more mean longer lists and fewer pairs to verify.
@@ -333,7 +333,7 @@ class NearDuplicates:
     def __init__(self, documents: DataFrame, similarity: float = 0.5, width: int = 3, least_words: int = 20, shared: int = SHARED, bucket_records: int = BUCKET_RECORDS, bucket_cells: int = BUCKET_CELLS) -> None:
         if not 0 < similarity <= 1:
             raise ValueError("similarity must be above 0 and at most 1")
-        buckets = max(8, math.ceil(documents.count() / bucket_records))
+        buckets = max(1, math.ceil(documents.count() / bucket_records))
         texts = documents.select("document_id", "title", "content", "loaded_at")
         prints = materialize(texts.mapInArrow(_fingerprint(width, least_words, buckets), _PRINT), "prints")
         latest = F.max(F.struct("loaded_at", "usable", "cid")).alias("last")
