@@ -11,6 +11,7 @@ from shardloom.errors import NotFound
 from shardloom.functions.placement import shard_of
 from shardloom.functions.text import chunk_count, chunk_text, chunks, tokens
 from shardloom.operators.numbering import running_sums
+from shardloom.sources.scratch import materialize
 
 KEY = ("index_name", "document_id")
 Embedder = Callable[[Column], Column]
@@ -54,40 +55,54 @@ def counted(documents: DataFrame, indices: DataFrame) -> DataFrame:
     return rows.withColumn("n_children", F.when(k > 0, full + chunk_count(rest, child, child_lap)).otherwise(0)).drop("_n")
 
 
-def cut(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(parents, children) of counted documents: a row a chunk, numbered within its document from 0 by `nth`."""
-    head = [c for c in documents.columns if c not in (*_SIZES, "content", "title")]
+def cut(documents: DataFrame, indices: DataFrame) -> DataFrame:
+    """documents (key columns and content) with `pieces`, the parents' texts and those of their children, and their numbers.
+
+    Tokens are found once. Columns: those of documents but content, pieces array<struct<content, children array<string>>>,
+    n_parents, n_children. Settings that chunks() doesn't take, and texts without tokens, give no pieces.
+    """
+    head = [c for c in documents.columns if c != "content"]
     # tokens are a column of their own: inside a lambda they would be found again for every chunk
-    found = documents.withColumn("_t", tokens(F.col("content")))
-    rows = found.withColumn("_p", chunks(F.col("_t"), F.col("max_parent_chunk_size"), F.col("parent_chunk_overlap_size")))
-    parents = rows.select(*head, F.posexplode("_p").alias("chunk_index", "_q")).select(*head, "chunk_index", chunk_text(F.col("_q")).alias("content"))
-    inner = lambda p: chunks(p, F.col("max_child_chunk_size"), F.col("child_chunk_overlap_size"))
-    every = F.flatten(F.transform("_p", lambda p, i: F.transform(inner(p), lambda c, j: F.struct(i.alias("chunk_index"), j.alias("child_index"), chunk_text(c).alias("text")))))
-    children = rows.select(*head, F.posexplode(every).alias("nth", "_c")).select(*head, "nth", "_c.*")
-    return parents, children
+    rows = documents.join(indices.select("index_name", *_SIZES), "index_name").withColumn("_t", tokens(F.col("content")))
+    rows = rows.withColumn("_p", chunks(F.col("_t"), F.col("max_parent_chunk_size"), F.col("parent_chunk_overlap_size")))
+    inner = lambda p: F.transform(chunks(p, F.col("max_child_chunk_size"), F.col("child_chunk_overlap_size")), chunk_text)
+    pieces = F.transform("_p", lambda p: F.struct(chunk_text(p).alias("content"), F.coalesce(inner(p), F.array().cast("array<string>")).alias("children")))
+    rows = rows.select(*head, F.coalesce(pieces, F.array().cast("array<struct<content:string,children:array<string>>>")).alias("pieces"))
+    return rows.select("*", F.size("pieces").alias("n_parents"), F.aggregate("pieces", F.lit(0), lambda n, p: n + F.size(p["children"])).alias("n_children"))
 
 
-def ingest(documents: DataFrame, indices: DataFrame, incoming: DataFrame, parents_taken: DataFrame, children_taken: DataFrame, embed: Embedder | None = None) -> dict[str, DataFrame]:
-    """Tables to append: parent_chunks, child_chunks, documents, conflicts.
+def chunked(documents: DataFrame, indices: DataFrame, parents_taken: DataFrame, children_taken: DataFrame, embed: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
+    """(parent_chunks, child_chunks) of placed documents (index_name, shard_number, document_id, content).
 
-    incoming: index_name, document_id, title, content. Ids continue after the greatest number that the shard has
-    (index_name, shard_number, id in the taken tables). Documents without text are kept without chunks.
+    Ids continue after the greatest number that the shard has (index_name, shard_number, id in the taken tables), by
+    document_id and place. Numbers are given to documents, not to chunks: a document's chunks follow one another.
     """
-    fresh, conflicts = new_documents(documents, incoming)
-    rows = placed(fresh, indices)
     shard = ("index_name", "shard_number")
-    full = counted(rows.select(*shard, "document_id", "content"), indices)
-    # ids are given to documents, not to chunks: a document's chunks follow one another
-    first = running_sums(full.select(*shard, "document_id", "n_parents", "n_children"), shard, ("document_id",), {"_first_parent": F.col("n_parents"), "_first_child": F.col("n_children")})
+    made = materialize(cut(documents.select(*shard, "document_id", "content"), indices), "pieces")
+    narrow = made.select(*shard, "document_id", "n_parents", "n_children").where("n_parents > 0")
+    first = running_sums(narrow, shard, ("document_id",), {"_first_parent": F.col("n_parents"), "_first_child": F.col("n_children")})
     for name, taken in (("_first_parent", parents_taken), ("_first_child", children_taken)):
         most = taken.groupBy(*shard).agg(F.max("id").alias("_most"))
         first = first.join(most, list(shard), "left").withColumn(name, F.col(name) + F.coalesce(F.col("_most") + 1, F.lit(0))).drop("_most")
-    numbered_ = full.drop("n_parents", "n_children").join(first.select(*shard, "document_id", "_first_parent", "_first_child"), [*shard, "document_id"])
-    parents, children = cut(numbered_)
+    rows = made.join(first.select(*shard, "document_id", "_first_parent", "_first_child"), [*shard, "document_id"])
+    parents = rows.select("*", F.posexplode("pieces").alias("chunk_index", "piece"))
     parent_id = (F.col("_first_parent") + F.col("chunk_index")).alias("parent_chunk_id")
-    parents = parents.select(*shard, "document_id", "chunk_index", "content", parent_id)
+    every = F.flatten(F.transform("pieces", lambda p, i: F.transform(p["children"], lambda c, j: F.struct(i.alias("chunk_index"), j.alias("child_index"), c.alias("text")))))
+    children = rows.select(*shard, "document_id", "_first_parent", "_first_child", F.posexplode(every).alias("nth", "c")).select("*", "c.*")
     embedding = embed(F.col("text")) if embed else F.lit(None).cast("array<float>")
     children = children.select(*shard, "document_id", parent_id, "child_index", "text", (F.col("_first_child") + F.col("nth")).alias("child_chunk_id"), embedding.alias("embedding"))
+    return parents.select(*shard, "document_id", "chunk_index", "piece.content", parent_id), children
+
+
+def ingest(documents: DataFrame, indices: DataFrame, incoming: DataFrame, parents_taken: DataFrame, children_taken: DataFrame, embed: Embedder | None = None) -> dict[str, DataFrame]:
+    """Tables to append: parent_chunks, child_chunks, documents, conflicts.
+
+    incoming: index_name, document_id, title, content. Chunks are numbered as in chunked(). Documents without text are
+    kept without chunks.
+    """
+    fresh, conflicts = new_documents(documents, incoming)
+    rows = placed(fresh, indices)
+    parents, children = chunked(rows, indices, parents_taken, children_taken, embed)
     return {"parent_chunks": parents, "child_chunks": children, "documents": rows, "conflicts": conflicts}
 
 
@@ -109,6 +124,22 @@ def update(documents: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     return both.select(*kept, *[F.coalesce(f"_{c}", c).alias(c) for c in ("title", "content", "metadata")], F.when(hit, now).otherwise(F.col("modification_timestamp")).alias("modification_timestamp"), (hit & F.col("_content").isNotNull()).alias("rechunk"))
 
 
+def rebuild(documents: DataFrame, indices: DataFrame, parents: DataFrame, children: DataFrame, changes: DataFrame, now: Column, embed: Embedder | None = None) -> dict[str, DataFrame]:
+    """The tables documents, parent_chunks and child_chunks after changes; where content is given, chunks are made again.
+
+    The old chunks and vectors of such documents go, and the new ones are numbered after the greatest ids of their shard,
+    the old ones included, so that no id is used twice. Chunks of other documents stay. Chunk tables have the columns that
+    chunked() gives, and others, which are null in new rows.
+    """
+    after = materialize(update(documents, changes, now), "updated")
+    again = after.where("rechunk")
+    taken = lambda t, c: t.select("index_name", "shard_number", F.col(c).alias("id"))
+    fresh = chunked(placed(again.select("index_name", "document_id", "content"), indices), indices, taken(parents, "parent_chunk_id"), taken(children, "child_chunk_id"), embed)
+    keys = again.select(*KEY)
+    kept = [old.join(keys, list(KEY), "left_anti").unionByName(new, allowMissingColumns=True) for old, new in zip((parents, children), fresh)]
+    return {"documents": after.drop("rechunk"), "parent_chunks": kept[0], "child_chunks": kept[1]}
+
+
 def delete(documents: DataFrame, parents: DataFrame, children: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables without the documents (index_name, document_id), their chunks and vectors."""
     keys = gone.select(*KEY).distinct()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardloom.errors import InvalidArgument
+from shardloom.errors import InvalidArgument, NotFound
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -79,21 +79,45 @@ def best_child(hits: DataFrame, parent: Sequence[str], tie: Sequence[str]) -> Da
     return hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
 
 
-def retrieve(children: DataFrame, parents: DataFrame, scored: DataFrame, max_results: int, threshold: float | None = None) -> DataFrame:
+def retrieve(children: DataFrame | None, parents: DataFrame, scored: DataFrame, max_results: int, threshold: float | None = None) -> DataFrame:
     """document_id, chunk_index, content, score: the chain from scored children to parents' contents.
 
     scored: index_name, shard_number, child_chunk_id, score. k is max_results children a shard, so that fewer than
     max_results parents can come out. Hits whose child or parent is missing are skipped. max_results of 0 gives none.
+    Scored rows that carry parent_chunk_id need no children; parents with loaded_at are versions, of which the one loaded
+    last counts.
     """
     shard = ("index_name", "shard_number")
     hits = within(top_by_shard(scored, shard, max_results, ("child_chunk_id",)), threshold)
     # hits are at most k a shard; AQE sees their size and broadcasts them
-    linked = hits.select(*shard, "child_chunk_id", "score").join(children.select(*shard, "child_chunk_id", "parent_chunk_id"), [*shard, "child_chunk_id"])
+    linked = hits.select(*shard, "child_chunk_id", "parent_chunk_id", "score") if children is None else hits.select(*shard, "child_chunk_id", "score").join(children.select(*shard, "child_chunk_id", "parent_chunk_id"), [*shard, "child_chunk_id"])
     best = best_child(linked.where("parent_chunk_id IS NOT NULL"), (*shard, "parent_chunk_id"), ("child_chunk_id",))
+    if "loaded_at" in parents.columns:  # contents of hits only are compared
+        wanted = parents.join(best.select(*shard, "parent_chunk_id"), [*shard, "parent_chunk_id"], "left_semi")
+        parents = live_rows(wanted, (*shard, "parent_chunk_id"), ("document_id", "chunk_index", "content"))
     full = best.join(parents.select(*shard, "parent_chunk_id", "document_id", "chunk_index", "content"), [*shard, "parent_chunk_id"])
     return full.orderBy("score", *shard, "child_chunk_id").limit(max_results).select("document_id", "chunk_index", "content", "score")
 
 
+def of_index(indices: DataFrame, name: str, *tables: DataFrame) -> list[DataFrame]:
+    """The tables' rows of one index; the condition reaches their scans. Raises NotFound where the catalogue doesn't have it."""
+    if indices.where(F.col("index_name") == name).isEmpty():
+        raise NotFound(f"no index {name}")
+    return [t.where(F.col("index_name") == name) for t in tables]
+
+
+def score_live(vectors: DataFrame, query: DataFrame, key: Sequence[str], columns: Sequence[str] = (), embedding: str = "embedding") -> DataFrame:
+    """key, columns, score of the live row of each key: of the rows without deleted_at the one loaded last.
+
+    Rows are scored where they are read, so that only keys and scores are shuffled, never vectors. A live row whose vector
+    can't be compared has no score and hides older rows of its key. Ties of loaded_at go to the greater columns and score.
+    """
+    near = vectors.where("deleted_at IS NULL").crossJoin(F.broadcast(query)).select(*key, "loaded_at", *columns, squared_l2(F.col(embedding), F.col("q")).alias("score"))
+    last = near.groupBy(*key).agg(F.max(F.struct("loaded_at", *columns, "score")).alias("last"))
+    out = last.select(*key, *[F.col(f"last.{c}").alias(c) for c in (*columns, "score")])
+    return out.where(F.col("score").isNotNull() & ~F.isnan("score"))
+
+
 def live_rows(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """One live row a key: of the rows without deleted_at the one loaded last. Ties go to the greater columns."""
     last = F.max(F.struct("loaded_at", *columns)).alias("last")

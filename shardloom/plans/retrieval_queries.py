@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.functions.embed import DIM, features
+from shardloom.functions.embed import DIM, DOCUMENT, QUERY, features
 from shardloom.functions.placement import shard_of
 from shardloom.functions.text import bare, chunk_text, chunks, tokens
 from shardloom.operators import retrieval as R
@@ -16,14 +16,10 @@ from shardloom.sources.tables import table
 K = 10
 THRESHOLD = 1.5
 SHARD = ("index_name", "shard_number")
+INDEX = "kb-main"
 QUERY_TEXT = "the backlog cleared on its own after the restart"
 
 
-def _children(spark: SparkSession, folder: str, *more: str) -> DataFrame:
-    rows = table(spark, folder, "child_chunks")
-    return R.live_rows(rows, (*SHARD, "child_chunk_id"), ("parent_chunk_id", *more))
-
-
 def _query(spark: SparkSession, folder: str) -> DataFrame:
     """The vector asked for: that of the smallest probe id."""
     probe = table(spark, folder, "knn_probes").agg(F.min("vec_id").alias("vec_id"))
@@ -32,7 +28,8 @@ def _query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    return R.score_exact(_children(spark, folder, "embedding"), _query(spark, folder), (*SHARD, "child_chunk_id", "parent_chunk_id"))
+    rows = table(spark, folder, "child_chunks", *SHARD, "child_chunk_id", "parent_chunk_id", "embedding", "loaded_at", "deleted_at")
+    return R.score_live(rows, _query(spark, folder), (*SHARD, "child_chunk_id"), ("parent_chunk_id",))
 
 
 def knn_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,11 +57,24 @@ def knn_dedup_parent(spark: SparkSession, folder: str) -> DataFrame:
 
 def retrieve(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: search all shards, merge, threshold, best child a parent, contents of the 10 best."""
-    parents = R.live_rows(table(spark, folder, "parent_chunks"), (*SHARD, "parent_chunk_id"), ("document_id", "chunk_index", "content"))
-    found = R.retrieve(_children(spark, folder), parents, _scored(spark, folder), K, 2.0)
+    found = R.retrieve(None, table(spark, folder, "parent_chunks"), _scored(spark, folder), K, 2.0)
+    return found.withColumn("score", F.round("score", 6))
+
+
+def retrieve_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The same in one index by its name, which must exist."""
+    scored, parents = _scored(spark, folder), table(spark, folder, "parent_chunks")
+    found = R.retrieve(None, *R.of_index(table(spark, folder, "indices"), INDEX, parents, scored), K)
     return found.withColumn("score", F.round("score", 6))
 
 
+def knn_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest labelled vectors of each label, scored by Arrow batches."""
+    v = table(spark, folder, "embeddings")
+    q = v.where("vec_id = 0").select("embedding").first()[0]
+    return R.top_by_shard(R.score_blocks(v, q, ("label", "vec_id"), K, ("label",)), ("label",), K, ("vec_id",)).withColumn("score", F.round("score", 6))
+
+
 _LIVE = """
 child AS (SELECT index_name, shard_number, child_chunk_id, arg_max(coalesce(parent_chunk_id, -1), (loaded_at, coalesce(parent_chunk_id, -1))) AS p, arg_max(coalesce(embedding, []), (loaded_at, coalesce(parent_chunk_id, -1))) AS e FROM child_chunks WHERE deleted_at IS NULL GROUP BY ALL),
 q AS (SELECT embedding AS q FROM child_chunks WHERE vec_id = (SELECT min(vec_id) FROM knn_probes) LIMIT 1),
@@ -147,8 +157,8 @@ def retrieve_text(spark: SparkSession, folder: str) -> DataFrame:
     parents = found.select("shard", "doc_id", F.posexplode(chunks(F.col("all"), F.lit(64), F.lit(8))).alias("chunk_index", "t"))
     kids = parents.select("shard", "doc_id", "chunk_index", F.posexplode(chunks(F.col("t"), F.lit(16), F.lit(4))).alias("child_index", "c"))
     key = ("shard", "doc_id", "chunk_index", "child_index")
-    vectors = features(kids.select(*key, chunk_text(F.col("c")).alias("text")), F.col("text"), *key)
-    query = features(spark.range(1).select("id", F.lit(QUERY_TEXT).alias("text")), F.col("text"), "id", dim=DIM).select("bucket", F.col("weight").alias("qw"))
+    vectors = features(kids.select(*key, chunk_text(F.col("c")).alias("text")), F.concat(F.lit(DOCUMENT), "text"), *key)
+    query = features(spark.range(1).select("id", F.lit(QUERY + QUERY_TEXT).alias("text")), F.col("text"), "id", dim=DIM).select("bucket", F.col("weight").alias("qw"))
     near = vectors.join(F.broadcast(query), "bucket", "left").groupBy(*key).agg((2 - 2 * F.sum(F.coalesce(F.col("weight") * F.col("qw"), F.lit(0.0)))).alias("score"))
     near = near.withColumn("score", F.round("score", 6))
     hits = R.within(R.top_by_shard(near, ("shard",), K, ("doc_id", "chunk_index", "child_index")), THRESHOLD)
@@ -170,16 +180,16 @@ pc AS (SELECT shard, doc_id, """ + _CUT.format(t="t", size="64", lap="8") + """
 par AS (SELECT shard, doc_id, unnest(p) AS t, unnest(range(len(p)))::INTEGER AS chunk_index FROM pc),
 cc AS (SELECT shard, doc_id, chunk_index, """ + _CUT.format(t="t", size="16", lap="4") + """ AS c FROM par),
 ch AS (SELECT shard, doc_id, chunk_index, unnest(c) AS t, unnest(range(len(c)))::INTEGER AS child_index FROM cc),
-kid AS (SELECT shard, doc_id, chunk_index, child_index, array_to_string(t, '') AS text FROM ch),
+kid AS (SELECT shard, doc_id, chunk_index, child_index, '""" + DOCUMENT + r"""' || array_to_string(t, '') AS text FROM ch),
 v AS """ + _features_sql("kid", "shard, doc_id, chunk_index, child_index, ", "text") + f""",
-one AS (SELECT '{QUERY_TEXT}' AS text), qv AS """ + _features_sql("one", "", "text") + """,
+one AS (SELECT '{QUERY}{QUERY_TEXT}' AS text), qv AS """ + _features_sql("one", "", "text") + """,
 near AS (SELECT shard, doc_id, chunk_index, child_index, round(2 - 2 * sum(coalesce(v.weight * qv.weight, 0)), 6) AS score FROM v LEFT JOIN qv USING (bucket) GROUP BY ALL),
 top AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY shard ORDER BY score, doc_id, chunk_index, child_index) <= 10),
 best AS (SELECT * FROM top WHERE score <= 1.5 QUALIFY row_number() OVER (PARTITION BY shard, doc_id, chunk_index ORDER BY score, child_index) = 1)
 SELECT doc_id, chunk_index, """ + _JOINED.format(x="par.t") + """ AS content, score FROM best JOIN par USING (shard, doc_id, chunk_index) ORDER BY score, shard, doc_id, chunk_index LIMIT 10"""
 )
 
-QUERIES = {f.__name__: f for f in (retrieve, knn_topk, knn_sharded, knn_threshold, knn_dedup_parent, tokenize_documents, chunk_parents, chunk_children, chunk_ids, hash_embed, retrieve_text)}
+QUERIES = {f.__name__: f for f in (retrieve, knn_topk, knn_sharded, knn_threshold, knn_dedup_parent, retrieve_index, knn_blocks, tokenize_documents, chunk_parents, chunk_children, chunk_ids, hash_embed, retrieve_text)}
 SQL = {
     "knn_topk": "SELECT vec_id, label, round(list_sum(list_transform(list_zip(embedding, q), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), 6) AS score FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY score, vec_id LIMIT 10",
     "knn_sharded": f"WITH {_LIVE} SELECT index_name, shard_number, child_chunk_id, round(score, 6) AS score FROM top",
@@ -188,6 +198,10 @@ SQL = {
     "retrieve": f"""WITH {_LIVE}, best AS ({_BEST.format(t=2.0)}),
 par AS (SELECT index_name, shard_number, parent_chunk_id, max(struct_pack(l := loaded_at, document_id := document_id, chunk_index := chunk_index, content := content)) AS s FROM parent_chunks WHERE deleted_at IS NULL GROUP BY ALL)
 SELECT s.document_id AS document_id, s.chunk_index AS chunk_index, s.content AS content, round(score, 6) AS score FROM best JOIN par USING (index_name, shard_number, parent_chunk_id) ORDER BY best.score, index_name, shard_number, child_chunk_id LIMIT 10""",
+    "retrieve_index": f"""WITH {_LIVE}, best AS ({_BEST.format(t="'infinity'::DOUBLE")}),
+par AS (SELECT index_name, shard_number, parent_chunk_id, max(struct_pack(l := loaded_at, document_id := document_id, chunk_index := chunk_index, content := content)) AS s FROM parent_chunks WHERE deleted_at IS NULL GROUP BY ALL)
+SELECT s.document_id AS document_id, s.chunk_index AS chunk_index, s.content AS content, round(score, 6) AS score FROM best JOIN par USING (index_name, shard_number, parent_chunk_id) WHERE index_name = '{INDEX}' ORDER BY best.score, index_name, shard_number, child_chunk_id LIMIT 10""",
+    "knn_blocks": "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT label, vec_id, list_sum(list_transform(list_zip(embedding, q), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS score FROM embeddings, q) SELECT label, vec_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY score, vec_id) <= 10",
     "tokenize_documents": r"SELECT doc_id, len(t)::INTEGER AS n_tokens, coalesce(list_max(list_transform(t, lambda x: length(x))), 0)::INTEGER AS longest FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f]+') AS t FROM documents)",
     "chunk_parents": f"WITH {_DOCS} SELECT document_id, chunk_index, {_JOINED.format(x='t')} AS content FROM par",
     "chunk_children": f"WITH {_DOCS}, {_CHILD} SELECT document_id, chunk_index, child_index, len(t)::INTEGER AS n_tokens, {_JOINED.format(x='t')} AS content FROM ch",

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardloom.functions.embed import DIM, DOCUMENT, hash_embedder
 from shardloom.functions.text import from_urlsafe, urlsafe
 from shardloom.operators import catalog, documents, paging
+from shardloom.plans.retrieval_queries import _features_sql
 from shardloom.sources.tables import table
 
 NOW = "2026-01-01 00:00:00"
@@ -42,8 +44,11 @@ def create_index_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def create_index(spark: SparkSession, folder: str) -> DataFrame:
-    """Indices that could be created today."""
-    return catalog.valid(_indices(spark, folder)).select("index_name", "number_of_shards")
+    """The catalogue after copies of its valid indices are created under new names; names that exist would raise."""
+    indices = _indices(spark, folder)
+    new = catalog.valid(indices).withColumn("index_name", F.concat("index_name", F.lit("-copy")))
+    made = catalog.create(indices, new, _now())
+    return made.select("index_name", "number_of_shards", F.coalesce(F.col("creation_timestamp") == _now(), F.lit(False)).alias("new"))
 
 
 def list_indices(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,10 +95,9 @@ def shard_assignment(spark: SparkSession, folder: str) -> DataFrame:
 
 def get_document(spark: SparkSession, folder: str) -> DataFrame:
     """The first document of an index, read by its key."""
-    docs = table(spark, folder, "document_store", "index_name", "document_id", "title", "content", "loaded_at")
+    docs = table(spark, folder, "document_store", "index_name", "document_id", "shard_number", "title", "content", "loaded_at")
     first = docs.where(F.col("index_name") == INDEX).agg(F.min("document_id")).first()[0]
-    rows = docs.where((F.col("index_name") == INDEX) & (F.col("document_id") == first))
-    return documents.once(rows, ("title", "content"))
+    return documents.once(documents.get(docs, _indices(spark, folder), INDEX, first), ("title", "content"))
 
 
 def document_exists(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,12 +120,41 @@ def page_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("document_id", "token", from_urlsafe(F.element_at(F.split("token", r"\."), 2)).alias("back"))
 
 
-def _ingested(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def _ingested(spark: SparkSession, folder: str, embed=None) -> dict[str, DataFrame]:
     taken = lambda name, c: table(spark, folder, name, "index_name", "shard_number", c).withColumnRenamed(c, "id")
     existing = table(spark, folder, "document_store", "index_name", "document_id")
     incoming = _corpus(spark, folder).where("index_name IS NOT NULL")
     again = _docs(spark, folder, "title", "content")
-    return documents.ingest(existing, catalog.valid(_indices(spark, folder)), incoming.unionByName(again.select(incoming.columns)), taken("parent_chunks", "parent_chunk_id"), taken("child_chunks", "child_chunk_id"))
+    return documents.ingest(existing, catalog.valid(_indices(spark, folder)), incoming.unionByName(again.select(incoming.columns)), taken("parent_chunks", "parent_chunk_id"), taken("child_chunks", "child_chunk_id"), embed)
+
+
+def ingest_children(spark: SparkSession, folder: str) -> DataFrame:
+    """Child chunks with their hashed vectors: the first of the buckets with the greatest weight, and that weight."""
+    made = _ingested(spark, folder, hash_embedder(DIM))["child_chunks"]
+    size = F.transform("embedding", F.abs)
+    peak = made.select("index_name", "shard_number", "child_chunk_id", "parent_chunk_id", "document_id", "child_index", F.length("text").alias("n_chars"), size.alias("s")).withColumn("most", F.array_max("s"))
+    return peak.select("index_name", "shard_number", "child_chunk_id", "parent_chunk_id", "document_id", "child_index", "n_chars", (F.array_position("s", F.col("most")) - 1).cast("int").alias("bucket"), F.round(F.col("most").cast("double"), 4).alias("weight"))
+
+
+def _rebuilt(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The store after the contents of an index are written twice in a row, one after the other."""
+    docs = table(spark, folder, "document_store", "index_name", "document_id", "title", "content", "metadata", "modification_timestamp").dropDuplicates(["index_name", "document_id"])
+    null = lambda kind: F.lit(None).cast(kind)
+    twice = docs.where((F.col("index_name") == INDEX) & F.col("content").isNotNull()).select("index_name", "document_id", null("string").alias("title"), F.concat("content", F.lit("\n"), "content").alias("content"), null("map<string,string>").alias("metadata"))
+    parents = table(spark, folder, "parent_chunks", "index_name", "shard_number", "document_id", "chunk_index", "content", "parent_chunk_id")
+    children = table(spark, folder, "child_chunks", "index_name", "shard_number", "document_id", "parent_chunk_id", "child_index", "text", "child_chunk_id", "embedding")
+    return documents.rebuild(docs, catalog.valid(_indices(spark, folder)), parents, children, twice, _now(), hash_embedder(64))
+
+
+def update_parents(spark: SparkSession, folder: str) -> DataFrame:
+    """Parent chunks after an update that cuts the documents of an index again."""
+    return _rebuilt(spark, folder)["parent_chunks"].select("index_name", "shard_number", "parent_chunk_id", "document_id", "chunk_index", F.length("content").alias("n_chars"))
+
+
+def update_children(spark: SparkSession, folder: str) -> DataFrame:
+    """Child chunks after that update, with the length of their vectors."""
+    kids = _rebuilt(spark, folder)["child_chunks"]
+    return kids.select("index_name", "shard_number", "child_chunk_id", "parent_chunk_id", "document_id", "child_index", F.length("text").alias("n_chars"), F.greatest(F.size("embedding"), F.lit(0)).alias("dims"))
 
 
 def ingest_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -177,10 +210,22 @@ _CORPUS = "c AS (SELECT index_name, 'corpus-' || doc_id AS document_id, source A
 _CH = "ch AS (SELECT * FROM (SELECT DISTINCT index_name, document_id, metadata['owner'] AS title, CASE WHEN trim(content) = '' THEN '' END AS content FROM document_store) WHERE title IS NOT NULL OR content IS NOT NULL)"
 _CUT = "[t[i * (max_parent_chunk_size - parent_chunk_overlap_size) + 1 : i * (max_parent_chunk_size - parent_chunk_overlap_size) + max_parent_chunk_size] FOR i IN range(CASE WHEN len(t) = 0 THEN 0 WHEN len(t) <= max_parent_chunk_size THEN 1 ELSE ceil((len(t) - max_parent_chunk_size) / (max_parent_chunk_size - parent_chunk_overlap_size)::DOUBLE)::BIGINT + 1 END)]"
 
-QUERIES = {f.__name__: f for f in (create_index_shards, create_index, list_indices, get_index, index_exists, update_index, delete_index, shard_assignment, get_document, document_exists, list_documents_page, page_tokens, ingest_documents, ingest_conflicts, update_documents, upsert_documents, delete_documents)}
+_FOUND = r"regexp_extract_all(coalesce(content, ''), '[ \t\n\r\f]*[^ \t\n\r\f]+')"
+_JOINED = r"regexp_replace(array_to_string({x}, ''), '^[ \t\n\r\f]+', '')"
+_NEXT = "{c} + row_number() OVER (PARTITION BY index_name, shard_number ORDER BY {by}) - 1"
+# parents (i) and children (g) of the tokens in n, numbered after those that the shard has
+_KIDS = f"""mp AS (SELECT index_name, shard_number, max(parent_chunk_id) AS most FROM parent_chunks GROUP BY ALL), mc AS (SELECT index_name, shard_number, max(child_chunk_id) AS most FROM child_chunks GROUP BY ALL),
+p AS (SELECT index_name, shard_number, document_id, max_child_chunk_size AS cs, child_chunk_overlap_size AS co, {_CUT} AS p FROM n), u AS (SELECT index_name, shard_number, document_id, cs, co, unnest(p) AS t, unnest(range(len(p)))::INTEGER AS chunk_index FROM p),
+i AS (SELECT u.*, {_NEXT.format(c='coalesce(most + 1, 0)', by='document_id, chunk_index')} AS parent_chunk_id, {_JOINED.format(x='t')} AS content FROM u LEFT JOIN mp USING (index_name, shard_number)),
+k AS (SELECT * EXCLUDE (t, content), [t[j * (cs - co) + 1 : j * (cs - co) + cs] FOR j IN range(CASE WHEN len(t) <= cs THEN 1 ELSE ceil((len(t) - cs) / (cs - co)::DOUBLE)::BIGINT + 1 END)] AS c FROM i),
+g AS (SELECT * EXCLUDE (x), {_JOINED.format(x='x')} AS text FROM (SELECT * EXCLUDE (c), unnest(c) AS x, unnest(range(len(c)))::INTEGER AS child_index FROM k))"""
+_TWICE = f"""{_VALID}, tw AS (SELECT DISTINCT index_name, document_id, content || chr(10) || content AS content FROM document_store WHERE index_name = '{INDEX}' AND content IS NOT NULL),
+n AS (SELECT tw.*, v.* EXCLUDE (index_name), {_SHARD.replace('index_name', 'tw.index_name')} AS shard_number, {_FOUND} AS t FROM tw JOIN valid v ON tw.index_name = v.index_name)"""
+
+QUERIES = {f.__name__: f for f in (create_index_shards, create_index, list_indices, get_index, index_exists, update_index, delete_index, shard_assignment, get_document, document_exists, list_documents_page, page_tokens, ingest_documents, ingest_children, update_parents, update_children, ingest_conflicts, update_documents, upsert_documents, delete_documents)}
 SQL = {
     "create_index_shards": "SELECT printf('%s_%06d', index_name, n) AS shard_name, index_name, n::INTEGER AS shard_number FROM (SELECT index_name, unnest(range(number_of_shards)) AS n FROM indices)",
-    "create_index": f"WITH {_VALID} SELECT index_name, number_of_shards FROM valid",
+    "create_index": f"WITH {_VALID} SELECT index_name, number_of_shards, false AS new FROM indices UNION ALL SELECT index_name || '-copy', number_of_shards, true FROM valid",
     "list_indices": "SELECT index_name, number_of_shards FROM indices WHERE index_name >= 'k' ORDER BY index_name LIMIT 11",
     "get_index": f"SELECT index_name, number_of_shards, max_parent_chunk_size FROM indices WHERE index_name = '{INDEX}'",
     "index_exists": "SELECT DISTINCT index_name, index_name IN (SELECT index_name FROM indices) AS found FROM documents WHERE index_name IS NOT NULL",
@@ -195,6 +240,14 @@ SQL = {
 p AS (SELECT index_name, shard_number, document_id, {_CUT} AS p FROM n), u AS (SELECT index_name, shard_number, document_id, unnest(p) AS t, unnest(range(len(p)))::INTEGER AS chunk_index FROM p),
 m AS (SELECT index_name, shard_number, max(parent_chunk_id) AS most FROM parent_chunks GROUP BY ALL)
 SELECT index_name, shard_number, coalesce(most + 1, 0) + row_number() OVER (PARTITION BY index_name, shard_number ORDER BY document_id, chunk_index) - 1 AS parent_chunk_id, document_id, chunk_index, length(regexp_replace(array_to_string(t, ''), '^[ \t\n\r\f]+', ''))::INTEGER AS n_chars FROM u LEFT JOIN m USING (index_name, shard_number)""",
+    "ingest_children": rf"""WITH {_VALID}, {_CORPUS}, n AS (SELECT c.*, v.* EXCLUDE (index_name), {_SHARD.replace('index_name', 'c.index_name')} AS shard_number, {_FOUND} AS t FROM c JOIN valid v ON c.index_name = v.index_name), {_KIDS},
+f AS {_features_sql('g', 'index_name, shard_number, document_id, chunk_index, child_index, ', f"('{DOCUMENT}' || text)")},
+w AS (SELECT index_name, shard_number, document_id, chunk_index, child_index, min(bucket) AS bucket, any_value(m) AS weight FROM (SELECT *, abs(weight)::FLOAT AS x, max(abs(weight)::FLOAT) OVER (PARTITION BY index_name, shard_number, document_id, chunk_index, child_index) AS m FROM f) WHERE x = m GROUP BY ALL)
+SELECT index_name, shard_number, {_NEXT.format(c='coalesce(mc.most + 1, 0)', by='document_id, chunk_index, child_index')} AS child_chunk_id, parent_chunk_id, document_id, child_index, length(text)::INTEGER AS n_chars, bucket, round(weight::DOUBLE, 4) AS weight FROM g JOIN w USING (index_name, shard_number, document_id, chunk_index, child_index) LEFT JOIN mc USING (index_name, shard_number)""",
+    "update_parents": rf"""WITH {_TWICE}, {_KIDS} SELECT index_name, shard_number, parent_chunk_id, document_id, chunk_index, length(content)::INTEGER AS n_chars FROM i UNION ALL
+SELECT index_name, shard_number, parent_chunk_id, document_id, chunk_index, length(content)::INTEGER FROM parent_chunks ANTI JOIN tw USING (index_name, document_id)""",
+    "update_children": rf"""WITH {_TWICE}, {_KIDS} SELECT index_name, shard_number, {_NEXT.format(c='coalesce(mc.most + 1, 0)', by='document_id, chunk_index, child_index')} AS child_chunk_id, parent_chunk_id, document_id, child_index, length(text)::INTEGER AS n_chars, 64 AS dims FROM g LEFT JOIN mc USING (index_name, shard_number) UNION ALL
+SELECT index_name, shard_number, child_chunk_id, parent_chunk_id, document_id, child_index, length(text)::INTEGER, coalesce(len(embedding), 0)::INTEGER FROM child_chunks ANTI JOIN tw USING (index_name, document_id)""",
     "ingest_conflicts": "SELECT DISTINCT index_name, document_id FROM document_store",
     "update_documents": f"WITH {_ONCE}, {_CH} SELECT index_name, document_id, coalesce(ch.title, d.title) AS title, coalesce(ch.content IS NOT NULL, false) AS rechunk, ch.document_id IS NOT NULL AS touched FROM d LEFT JOIN ch USING (index_name, document_id)",
     "upsert_documents": f"WITH {_ONCE}, {_CORPUS}, {_CH}, n AS (SELECT index_name, document_id, title FROM c UNION ALL SELECT index_name, document_id, title FROM ch) SELECT * FROM n UNION ALL SELECT index_name, document_id, title FROM d ANTI JOIN n USING (index_name, document_id)",

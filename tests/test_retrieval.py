@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from shardloom.errors import InvalidArgument
+from shardloom.errors import InvalidArgument, NotFound
 from shardloom.operators import retrieval as R
 
 CHILD = "index_name string, shard_number int, child_chunk_id long, parent_chunk_id long, embedding array<float>"
@@ -61,3 +61,27 @@ def test_plan(spark, folder):
     assert "TakeOrderedAndProject" in plan and "PushedFilters: [IsNull(deleted_at)" in plan
     read = QUERIES["kv_size"](spark, folder)._jdf.queryExecution().toString()
     assert "received_at" not in read.rsplit("ReadSchema", 1)[1]
+
+
+def test_scores_before_versions(spark):
+    """The live row hides older ones even where it can't be compared; vectors never reach a shuffle."""
+    rows = [("i", 0, 1, 5, [1.0, 0.0], "2025-01-01", None), ("i", 0, 1, 6, [2.0, 0.0], "2025-01-02", None), ("i", 0, 2, 5, [0.0, 0.0], "2025-01-01", None), ("i", 0, 2, 5, None, "2025-01-02", None), ("i", 0, 3, 5, [3.0, 0.0], "2025-01-01", "2025-01-02")]
+    df = spark.createDataFrame(rows, "index_name string, shard_number int, child_chunk_id long, parent_chunk_id long, embedding array<float>, loaded_at string, deleted_at string")
+    got = R.score_live(df, query(spark, 0, 0), ("index_name", "shard_number", "child_chunk_id"), ("parent_chunk_id",)).collect()
+    assert [(r.child_chunk_id, r.parent_chunk_id, r.score) for r in got] == [(1, 6, 4.0)]
+
+
+def test_vectors_are_not_shuffled(spark, folder):
+    from shardloom.plans.registry import QUERIES
+
+    for name in ("retrieve", "retrieve_index", "knn_sharded", "knn_threshold", "knn_dedup_parent"):
+        plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        below = [x for x in plan.split("Exchange hashpartitioning")[1:] if "embedding" in x.split("\n", 2)[1].split("[", 1)[-1]]
+        assert "Exchange hashpartitioning" in plan and not below, name
+
+
+def test_unknown_index(spark, folder):
+    from shardloom.sources.tables import table
+
+    with pytest.raises(NotFound):
+        R.of_index(table(spark, folder, "indices"), "no such index", table(spark, folder, "parent_chunks"))

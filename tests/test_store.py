@@ -69,3 +69,15 @@ def test_document_life(spark):
     assert [t.count() for t in left] == [1, 0, 0]
     with pytest.raises(NotFound):
         documents.get(docs, have, "zz", "d1")
+
+
+def test_update_cuts_again(spark):
+    have = index(spark, ("a", "", 1, 4, 2, 1, 0))
+    docs = spark.createDataFrame([("a", "d1", "t", "1 2 3", None, None), ("a", "d2", "t", "x y", None, None)], "index_name string, document_id string, title string, content string, metadata map<string,string>, modification_timestamp timestamp")
+    parents = spark.createDataFrame([("a", 0, "d1", 0, "1 2 3", 4), ("a", 0, "d2", 0, "x y", 5)], "index_name string, shard_number int, document_id string, chunk_index int, content string, parent_chunk_id long")
+    children = spark.createDataFrame([("a", 0, "d1", 4, 0, "1 2", 7), ("a", 0, "d1", 4, 1, "3", 8), ("a", 0, "d2", 5, 0, "x y", 9)], "index_name string, shard_number int, document_id string, parent_chunk_id long, child_index int, text string, child_chunk_id long")
+    change = spark.createDataFrame([("a", "d1", None, "5 6 7 8 9", None), ("a", "d2", "new", None, None)], "index_name string, document_id string, title string, content string, metadata map<string,string>")
+    after = documents.rebuild(docs, have, parents, children, change, now())
+    assert {(r.document_id, r.title, r.content) for r in after["documents"].collect()} == {("d1", "t", "5 6 7 8 9"), ("d2", "new", "x y")}
+    assert [(r.document_id, r.parent_chunk_id, r.content) for r in after["parent_chunks"].orderBy("parent_chunk_id").collect()] == [("d2", 5, "x y"), ("d1", 6, "5 6 7 8"), ("d1", 7, "8 9")]
+    assert [(r.parent_chunk_id, r.child_chunk_id, r.text) for r in after["child_chunks"].orderBy("child_chunk_id").collect()] == [(5, 9, "x y"), (6, 10, "5 6"), (6, 11, "7 8"), (7, 12, "8 9")]
