@@ -62,6 +62,36 @@ def exists_many(state: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
     return keys.select(*ENTRY).distinct().join(live, list(ENTRY), "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def touched(state: DataFrame, reads: DataFrame) -> DataFrame:
+    """state with last_access, the greatest seq of a put or a read of the entry (reads: pid, col, key, seq).
+
+    A read before the entry's last put, or of a key that isn't there, changes nothing.
+    """
+    last = reads.where("seq IS NOT NULL").groupBy(*ENTRY).agg(F.max("seq").alias("_read"))
+    return state.join(last, list(ENTRY), "left").withColumn("last_access", F.greatest("seq", "_read")).drop("_read")
+
+
+def delete_one(state: DataFrame, keys: DataFrame, now: Column, visible: int | None = None, expected: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(state without the keys, keys with `deleted`: whether the entry was there and alive)."""
+    check_quorum(visible, expected)
+    return delete_many(state, keys), exists_many(state, keys, now).withColumnRenamed("found", "deleted")
+
+
+def clear(state: DataFrame, collections: DataFrame, visible: int | None = None, expected: int = 1) -> DataFrame:
+    """state without the entries of the collections (pid, col). Raises QuorumLost as put_many does."""
+    check_quorum(visible, expected)
+    return state.join(collections.select("pid", "col").distinct(), ["pid", "col"], "left_anti")
+
+
+#: The collection of calls that name none.
+DEFAULT_COLLECTION = "default"
+
+
+def in_collection(requests: DataFrame, col: str = "col") -> DataFrame:
+    """requests with the default collection where they name none; an empty name is none."""
+    return requests.withColumn(col, F.when(F.coalesce(col, F.lit("")) == "", DEFAULT_COLLECTION).otherwise(F.col(col)))
+
+
 def put_many(state: DataFrame, batch: DataFrame, now: Column, visible: int | None = None, expected: int = 1) -> DataFrame:
     """state after the batch (pid, col, key, val, ttl): created_at stays, version grows, expiry is computed anew.
 
@@ -79,8 +109,9 @@ def put_many(state: DataFrame, batch: DataFrame, now: Column, visible: int | Non
         F.when(put, now).otherwise(F.col("h.updated_at")).alias("updated_at"), F.when(put, expires_at(now, F.col("n.ttl"))).otherwise(F.col("h.expires_at")).alias("expires_at"))
 
 
-def delete_many(state: DataFrame, keys: DataFrame) -> DataFrame:
-    """state without the keys; entries that expired but weren't swept are removed too."""
+def delete_many(state: DataFrame, keys: DataFrame, visible: int | None = None, expected: int = 1) -> DataFrame:
+    """state without the keys; entries that expired but weren't swept are removed too. Raises QuorumLost as put_many does."""
+    check_quorum(visible, expected)
     return state.join(keys.select(*ENTRY).distinct(), list(ENTRY), "left_anti")
 
 

@@ -90,3 +90,53 @@ def quorum_timeline(visible: DataFrame, strict_majority: bool = False) -> DataFr
 def settled(changes: DataFrame, gap: str = "10 seconds") -> DataFrame:
     """start, end, changes: bursts of membership changes (ts); a rebalance may run `gap` after the last of one."""
     return changes.groupBy(F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("changes")).select("w.start", "w.end", "changes")
+
+
+def newer(tables: DataFrame) -> DataFrame:
+    """partition_id, owner, backups, version: of all versions received, the newest of each partition.
+
+    tables: the same columns, from any number of senders in any order. Ties of a version go to the greater owner and
+    backups, so that every node comes to the same table.
+    """
+    last = F.max(F.struct("version", "owner", "backups")).alias("last")
+    return tables.where("version IS NOT NULL").groupBy("partition_id").agg(last).select("partition_id", "last.owner", "last.backups", "last.version")
+
+
+def next_version(table: DataFrame, assignment: DataFrame) -> DataFrame:
+    """The table after an assignment: partitions whose owner or backups changed, or that are new, get the next version."""
+    old = table.select(F.col("partition_id").alias("_p"), F.col("owner").alias("_o"), F.col("backups").alias("_b"), F.col("version").alias("_v"))
+    both = assignment.join(old, F.col("partition_id") == F.col("_p"), "left")
+    same = F.col("owner").eqNullSafe(F.col("_o")) & F.col("backups").eqNullSafe(F.col("_b"))
+    return both.select("partition_id", "owner", "backups", (F.coalesce("_v", F.lit(0)) + F.when(same, 0).otherwise(1)).cast("long").alias("version"))
+
+
+def promote(table: DataFrame, dead: DataFrame) -> DataFrame:
+    """The table after the owners in `dead` (address) are gone: the first live backup owns their partitions.
+
+    Dead backups leave the lists everywhere. Partitions that changed get the next version; one without a live backup has
+    no owner. Dead nodes are a catalogue.
+    """
+    gone = dead.agg(F.collect_set("address").alias("_dead"))
+    rows = table.crossJoin(F.broadcast(gone))
+    alive = F.filter("backups", lambda b: ~F.array_contains("_dead", b))
+    lost = F.coalesce(F.array_contains("_dead", F.col("owner")), F.lit(False))
+    owner = F.when(~lost, F.col("owner")).otherwise(F.get(alive, 0))
+    rest = F.when(~lost, alive).otherwise(F.filter(alive, lambda b: ~b.eqNullSafe(owner)))
+    changed = lost | (F.size(alive) != F.size("backups"))
+    return rows.select("partition_id", owner.alias("owner"), rest.alias("backups"), (F.col("version") + changed.cast("int")).alias("version"))
+
+
+def health(nodes: DataFrame, heartbeats: DataFrame, table: DataFrame, now, timeout_s: float) -> DataFrame:
+    """address, state, is_coordinator, owned, backed_up, silent_s: what a health report says of each node.
+
+    A node that is silent for longer than the timeout is dead whatever its state says.
+    """
+    last = heartbeats.groupBy("address").agg(F.max("ts").alias("_last"))
+    silent = (F.unix_micros(now) - F.unix_micros("_last")) / 1e6
+    seen = nodes.join(last, "address", "left").withColumn("silent_s", silent)
+    state = F.when(F.col("silent_s") > timeout_s, "dead").otherwise(F.col("state"))
+    seen = seen.withColumn("state", state).select("address", "state", "silent_s")
+    first = coordinator(seen).select(F.col("address").alias("_c"))
+    held = lookup(table)
+    out = seen.join(held, "address", "left").crossJoin(F.broadcast(first))
+    return out.select("address", "state", F.coalesce(F.col("address") == F.col("_c"), F.lit(False)).alias("is_coordinator"), F.coalesce("owned", F.lit(0)).alias("owned"), F.coalesce("backed_up", F.lit(0)).alias("backed_up"), "silent_s")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardloom.errors import AlreadyExists, InvalidArgument
 from shardloom.functions.placement import partition_of
 
 Handler = Callable[[str, dict], "dict | None"]
@@ -47,3 +48,33 @@ def to_all(assignment: DataFrame, message: str, handler: Handler) -> DataFrame:
             yield pd.DataFrame([("", o, *invoke(handler, "", message)) for o in rows["owner"]], columns=["routing_key", "owner", "status", "response", "error"])
 
     return assignment.select("owner").where("owner IS NOT NULL").distinct().mapInPandas(run, _OUT)
+
+
+class Topics:
+    """Handlers by topic. A topic has one handler; a second one for it, unless it replaces, is an error."""
+
+    def __init__(self) -> None:
+        self._handlers: dict[str, Handler] = {}
+
+    def listen(self, topic: str, handler: Handler, replace: bool = False) -> None:
+        if not topic:
+            raise InvalidArgument("a topic has a name")
+        if topic in self._handlers and not replace:
+            raise AlreadyExists(f"topic {topic} has a handler")
+        self._handlers[topic] = handler
+
+    def unlisten(self, topic: str) -> bool:
+        return self._handlers.pop(topic, None) is not None
+
+    def route(self, tasks: DataFrame, assignment: DataFrame) -> DataFrame:
+        """route() of tasks that name their topic (topic, routing_key, message); those of unknown topics fail."""
+        handlers = dict(self._handlers)
+
+        def dispatch(key: str, envelope: dict) -> dict | None:
+            handler = handlers.get(envelope.get("topic"))
+            if handler is None:
+                raise LookupError(f"no handler for topic {envelope.get('topic')}")
+            return handler(key, json.loads(envelope["message"]) if envelope.get("message") else {})
+
+        packed = tasks.select("routing_key", F.to_json(F.struct("topic", "message")).alias("message"))
+        return route(packed, assignment, dispatch)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.functions.placement import partition_of
 from shardloom.operators import cache as C
 from shardloom.operators.changelog import fold_changes, live_entries
+from shardloom.sources import wal
+from shardloom.sources.scratch import materialize, own_dir
 from shardloom.sources.tables import table
 
 ENTRY = C.ENTRY
@@ -55,7 +59,60 @@ def kv_get(spark: SparkSession, folder: str) -> DataFrame:
     if last is None:
         return C.replay(log).select(*ENTRY, "val", "version")
     wanted = (F.col("col") == last["col"]) & ((F.col("key") == last["key"]) | (F.col("op") == "clear"))
-    return C.get(C.replay(log.where(wanted)), last["col"], last["key"], F.lit("1970-01-01").cast("timestamp")).select(*ENTRY, "val", "version")
+    return C.get(C.replay(log.where(wanted)), last["col"], last["key"], _now()).select(*ENTRY, "val", "version")
+
+
+def kv_delete(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each key that `del` and `expire` rows name was there to be deleted."""
+    return C.delete_one(_state(spark, folder), _named(spark, folder, "del", "expire"), _now())[1]
+
+
+def kv_clear(spark: SparkSession, folder: str) -> DataFrame:
+    """The state after all collections whose name begins with s are cleared, with three of four nodes in sight."""
+    state = _state(spark, folder)
+    return C.clear(state, state.where(F.col("col").startswith("s")).select("pid", "col"), visible=3, expected=4).select(*ENTRY, "seq")
+
+
+def kv_lru_reads(spark: SparkSession, folder: str) -> DataFrame:
+    """The 3 entries of each partition and collection that were put or read last; `touch` rows are reads."""
+    reads = _log(spark, folder).where("op = 'touch' AND key IS NOT NULL").select(*ENTRY, "seq")
+    used = materialize(C.touched(_state(spark, folder), reads), "used")
+    return C.bound(used, 3, ("last_access",)).select(*ENTRY, "last_access")
+
+
+def kv_registry(spark: SparkSession, folder: str) -> DataFrame:
+    """Settings of each collection by the first change that names a ttl; calls without a name mean the default one."""
+    asked = C.in_collection(_log(spark, folder).where("ttl IS NOT NULL"))
+    return C.registry(asked.select("seq", F.col("col").alias("name"), F.col("ttl").alias("default_ttl"), F.col("pid").alias("max_entries")))
+
+
+def kv_partition_import(spark: SparkSession, folder: str) -> DataFrame:
+    """The state after its even partitions come back from a copy with doubled versions."""
+    state = materialize(_state(spark, folder), "state")
+    copy = state.where("pid % 2 = 0").withColumn("version", F.col("version") * 2)
+    return C.import_partitions(state, copy).select(*ENTRY, "seq", "version")
+
+
+def kv_drop_collections(spark: SparkSession, folder: str) -> DataFrame:
+    """The state without the collections that `PUT` rows name."""
+    names = _log(spark, folder).where("op = 'PUT'").select("col")
+    return C.drop_collections(_state(spark, folder), names).select(*ENTRY, "seq")
+
+
+def wal_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The change log written into segments and read back from their bytes, by operation."""
+    root = f"{own_dir(spark)}/wal-{uuid.uuid4().hex}"
+    wal.append(_log(spark, folder), root, 1 << 20)
+    return wal.scan(spark, root).groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
+
+
+def wal_compact(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries that the log holds after its segments are compacted."""
+    root = f"{own_dir(spark)}/wal-{uuid.uuid4().hex}"
+    wal.append(_log(spark, folder), root, 1 << 20)
+    wal.compact(spark, root)
+    log = wal.scan(spark, root).withColumn("ts", F.timestamp_micros((F.col("ts") * 1e6).cast("long")))
+    return C.replay(log).select(*ENTRY, "seq", "val")
 
 
 def kv_get_many(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,9 +200,10 @@ def kv_compact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def wal_crc_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """Records by operation after a check of checksums; records without operation were damaged in writing."""
-    payload = F.concat_ws("|", F.coalesce("op", F.lit("")), "col", F.coalesce("key", F.lit("")), F.coalesce("val", F.lit("")))
-    log = _log(spark, folder).withColumn("payload", payload).withColumn("crc", F.crc32(F.col("payload").cast("binary")) + F.col("op").isNull().cast("int"))
+    """Records by operation after a check of the stored bytes; of records without operation a byte was damaged."""
+    payload = F.concat_ws("|", F.coalesce("op", F.lit("")), "col", F.coalesce("key", F.lit("")), F.coalesce("val", F.lit(""))).cast("binary")
+    damaged = F.when(F.col("op").isNull(), F.overlay("payload", F.lit(b"#"), 1)).otherwise(F.col("payload"))
+    log = _log(spark, folder).withColumn("payload", payload).withColumn("crc", F.crc32("payload")).withColumn("payload", damaged)
     return C.checked(log, "payload", "crc").groupBy("op").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -170,12 +228,20 @@ def _named_sql(*ops: str) -> str:
 
 
 _DIGEST = "SELECT pid, count(*) AS n, sum(('0x' || substr(md5(concat_ws(chr(1), pid, col, key, seq)), 1, 8))::BIGINT) AS d FROM {} GROUP BY pid"
-QUERIES = {f.__name__: f for f in (kv_replay, kv_put_fold, kv_clear_fold, kv_get, kv_get_many, kv_exists, kv_put_many, kv_delete_many, kv_keys, kv_size, kv_collections, kv_ttl_asof, kv_lru, kv_partition_ids, kv_partition_export, partition_digest, kv_backup_read, kv_compact, wal_crc_filter)}
+QUERIES = {f.__name__: f for f in (kv_replay, kv_put_fold, kv_clear_fold, kv_get, kv_delete, kv_clear, kv_lru_reads, kv_registry, kv_partition_import, kv_drop_collections, wal_scan, wal_compact, kv_get_many, kv_exists, kv_put_many, kv_delete_many, kv_keys, kv_size, kv_collections, kv_ttl_asof, kv_lru, kv_partition_ids, kv_partition_export, partition_digest, kv_backup_read, kv_compact, wal_crc_filter)}
 SQL = {
     "kv_replay": f"WITH {_CHANGES} SELECT pid, col, key, seq, version, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS created_at FROM state",
     "kv_put_fold": f"WITH {_A} SELECT pid, col, key, seq, op FROM ak",
     "kv_clear_fold": f"WITH {_A} SELECT pid, col, cleared AS seq FROM ax",
-    "kv_get": f"WITH {_CHANGES} SELECT pid, col, key, val, version FROM state WHERE (col, key) = (SELECT (col, key) FROM kv_log WHERE op = 'put' AND key IS NOT NULL AND seq IS NOT NULL ORDER BY seq DESC, col DESC, key DESC LIMIT 1)",
+    "kv_get": f"WITH {_CHANGES} SELECT pid, col, key, val, version FROM live WHERE (col, key) = (SELECT (col, key) FROM kv_log WHERE op = 'put' AND key IS NOT NULL AND seq IS NOT NULL ORDER BY seq DESC, col DESC, key DESC LIMIT 1)",
+    "kv_delete": f"WITH {_CHANGES} SELECT n.pid, n.col, n.key, live.seq IS NOT NULL AS deleted FROM {_named_sql('del', 'expire')} n LEFT JOIN live USING (pid, col, key)",
+    "kv_clear": f"WITH {_CHANGES} SELECT pid, col, key, seq FROM state WHERE NOT starts_with(col, 's')",
+    "kv_lru_reads": f"WITH {_CHANGES}, r AS (SELECT pid, col, key, max(seq) AS r FROM kv_log WHERE op = 'touch' AND key IS NOT NULL AND seq IS NOT NULL GROUP BY ALL), u AS (SELECT pid, col, key, greatest(seq, coalesce(r, seq)) AS last_access FROM state LEFT JOIN r USING (pid, col, key)) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY pid, col ORDER BY last_access DESC, key) <= 3",
+    "kv_registry": "SELECT name, s.ttl AS default_ttl, s.pid AS max_entries FROM (SELECT CASE WHEN coalesce(col, '') = '' THEN 'default' ELSE col END AS name, min(struct_pack(seq := seq, ttl := ttl, pid := pid)) AS s FROM kv_log WHERE ttl IS NOT NULL AND seq IS NOT NULL GROUP BY 1)",
+    "kv_partition_import": f"WITH {_CHANGES} SELECT pid, col, key, seq, CASE WHEN pid % 2 = 0 THEN version * 2 ELSE version END AS version FROM state",
+    "kv_drop_collections": f"WITH {_CHANGES} SELECT pid, col, key, seq FROM state WHERE col NOT IN (SELECT col FROM kv_log WHERE op = 'PUT' AND col IS NOT NULL)",
+    "wal_scan": "SELECT op, count(*) AS n, sum(seq)::BIGINT AS seqs FROM kv_log GROUP BY op",
+    "wal_compact": f"WITH {_CHANGES} SELECT pid, col, key, seq, val FROM state",
     "kv_get_many": f"WITH {_CHANGES} SELECT pid, col, key, val FROM live SEMI JOIN {_named_sql('touch')} USING (pid, col, key)",
     "kv_exists": f"WITH {_CHANGES} SELECT n.pid, n.col, n.key, live.seq IS NOT NULL AS found FROM {_named_sql('touch', 'expire')} n LEFT JOIN live USING (pid, col, key)",
     "kv_put_many": f"WITH {_CHANGES}, n AS (SELECT pid, col, key, max(val) AS val FROM kv_log WHERE key IS NOT NULL AND op = 'PUT' GROUP BY ALL) SELECT pid, col, key, CASE WHEN n.pid IS NOT NULL THEN n.val ELSE state.val END AS val, coalesce(version, 0) + (n.pid IS NOT NULL)::INT AS version FROM state FULL JOIN n USING (pid, col, key)",

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.operators.changelog import fold_changes, live_entries
-from shardloom.operators.orphans import orphan_references
+from shardloom.operators.orphans import MATCHES, orphan_references
+from shardloom.sources.scratch import materialize
 from shardloom.sources.tables import table
 
 
@@ -80,11 +81,32 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     """
     key = ("kind", *_CHUNK)
     refs = _with_kind(_references(spark, folder)).groupBy("ref_table", "ref_field", "ref_key", *key).agg(F.min("loaded_at").alias("loaded_at"))
-    # both sides are pre-aggregated; the target side has one row a key
-    held = _targets(spark, folder).groupBy(*key).agg(F.min(F.when(F.col("deleted_at").isNull(), F.col("loaded_at"))).alias("live_from"), F.count(F.lit(1)).alias("rows"))
-    status = F.when(F.col("rows").isNull(), "missing").when(F.col("live_from").isNull(), "deleted").when(F.col("live_from") > F.col("loaded_at"), "late")
-    joined = refs.join(held, list(key), "left").withColumn("status", status).where("status IS NOT NULL")
-    return joined.groupBy("ref_table", "ref_field", F.date_format("loaded_at", "yyyy-MM-dd").alias("day"), "status").agg(F.count(F.lit(1)).alias("n"))
+    refs, targets = materialize(refs, "references"), _targets(spark, folder)
+    live = targets.where("deleted_at IS NULL")
+    orphans = lambda among: orphan_references(refs, among, key, match="strict", nullable=("index_name", "shard_number"))
+    # without a live target; of these, those of which there is no row at all, are missing and not deleted
+    each = [(orphans(live), "deleted", 1), (orphans(targets), "deleted", -1), (orphans(targets), "missing", 1)]
+    since = live.groupBy(*key).agg(F.min("loaded_at").alias("live_from"))
+    each.append((refs.join(since, list(key)).where("live_from > loaded_at"), "late", 1))
+    out = None
+    for rows, status, n in each:
+        day = F.date_format("loaded_at", "yyyy-MM-dd").alias("day")
+        rows = rows.groupBy("ref_table", "ref_field", day).agg((F.count(F.lit(1)) * n).alias("n")).withColumn("status", F.lit(status))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("ref_table", "ref_field", "day", "status").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def p4_masks(spark: SparkSession, folder: str) -> DataFrame:
+    """Orphans by index under each match semantics, of references from children to parents that leave shard 0 unsaid."""
+    child = table(spark, folder, "child_chunks", "index_name", "shard_number", "parent_chunk_id")
+    refs = materialize(child.withColumn("shard_number", F.when(F.col("shard_number") != 0, F.col("shard_number"))), "references")
+    parents = table(spark, folder, "parent_chunks", "index_name", "shard_number", "parent_chunk_id", "deleted_at").where("deleted_at IS NULL")
+    key, out = ("index_name", "shard_number", "parent_chunk_id"), None
+    for match in MATCHES:
+        lost = orphan_references(refs, parents, key, match=match, nullable=("shard_number", "parent_chunk_id")).groupBy("index_name").agg(F.count(F.lit(1)).alias("n"))
+        lost = lost.select(F.lit(match).alias("match"), "index_name", "n")
+        out = lost if out is None else out.unionByName(lost)
+    return out
 
 
 _P4_REFS = """
@@ -105,10 +127,16 @@ h AS (SELECT kind, index_name, shard_number, target_key, min(loaded_at) FILTER (
 s AS (SELECT g.*, CASE WHEN h.n IS NULL THEN 'missing' WHEN live_from IS NULL THEN 'deleted' WHEN live_from > g.loaded_at THEN 'late' END AS status FROM g LEFT JOIN h USING (kind, index_name, shard_number, target_key))
 SELECT ref_table, ref_field, strftime(loaded_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, status, count(*) AS n FROM s WHERE status IS NOT NULL GROUP BY ALL"""
 
-QUERIES = {"p2_found": p2_found, "p2_entries": p2_entries, "p4_found": p4_found, "p4_report": p4_report}
+QUERIES = {"p2_found": p2_found, "p2_entries": p2_entries, "p4_found": p4_found, "p4_report": p4_report, "p4_masks": p4_masks}
 SQL = {
     "p2_found": P2_SQL.format(more=""),
     "p2_entries": P2_SQL.format(more=", nullif(k.val, '\\x00') AS val, nullif(k.ttl, -1e300) AS ttl"),
     "p4_found": P4_FOUND_SQL,
     "p4_report": P4_REPORT_SQL,
+    "p4_masks": """WITH r AS (SELECT index_name, nullif(shard_number, 0) AS shard_number, parent_chunk_id FROM child_chunks),
+t AS (SELECT DISTINCT index_name, shard_number, parent_chunk_id FROM parent_chunks WHERE deleted_at IS NULL),
+f AS (SELECT r.*, shard_number IS NULL OR parent_chunk_id IS NULL AS has_null, EXISTS (SELECT 1 FROM t WHERE t.index_name = r.index_name AND t.shard_number = r.shard_number AND t.parent_chunk_id = r.parent_chunk_id) AS fits,
+ EXISTS (SELECT 1 FROM t WHERE t.index_name = r.index_name AND (r.shard_number IS NULL OR t.shard_number = r.shard_number) AND (r.parent_chunk_id IS NULL OR t.parent_chunk_id = r.parent_chunk_id)) AS fits_part FROM r)
+SELECT m AS match, index_name, count(*) AS n FROM f, (VALUES ('simple'), ('partial'), ('full'), ('strict')) v(m)
+WHERE CASE m WHEN 'simple' THEN NOT has_null AND NOT fits WHEN 'partial' THEN NOT fits_part ELSE has_null OR NOT fits END GROUP BY ALL""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shardloom.operators import cluster as C
 from shardloom.operators import locks, tasks
+from shardloom.operators.metrics import metered, reported
 from shardloom.sources.tables import table
 
 HOLD_S = 3600.0
@@ -85,12 +86,71 @@ def cluster_health(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.unionByName(_events(spark, folder).groupBy(F.concat(F.lit("events_"), "event_type").alias("metric")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def _lock_events(spark: SparkSession, folder: str) -> DataFrame:
-    e = _events(spark, folder).where("event_type <> 'purchase'")
+def lock_requests(events: DataFrame) -> DataFrame:
+    """Lock events (seq, key, op, owner, ts) out of the events of users."""
+    e = events.where("event_type <> 'purchase'")
     op = F.when(F.col("event_type").isin("signup", "view"), "acquire").when(F.col("event_type") == "click", "release").otherwise("force")
     return e.select(F.col("event_id").alias("seq"), (F.col("user_id") % 10).cast("string").alias("key"), op.alias("op"), (F.floor(F.col("user_id") / 10) % 3).cast("string").alias("owner"), "ts")
 
 
+def _lock_events(spark: SparkSession, folder: str) -> DataFrame:
+    return lock_requests(_events(spark, folder))
+
+
+def lock_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Attempts, grants, refreshes and denials of each lock."""
+    return locks.counts(locks.timeline(_lock_events(spark, folder), HOLD_S))
+
+
+def lock_holds(spark: SparkSession, folder: str) -> DataFrame:
+    """What each lock event did, where every other acquire asks for a tenth of the hold time, and a release by its event's number for a grant."""
+    events = _lock_events(spark, folder).withColumn("hold_s", F.when(F.col("seq") % 2 == 0, HOLD_S / 10))
+    return locks.timeline(events.withColumn("grant", F.when((F.col("op") == "release") & (F.col("seq") % 3 == 0), F.col("seq"))), HOLD_S)
+
+
+def partition_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """The partition table after two senders' versions, in the wrong order, and an assignment without the dead nodes."""
+    first = C.assign(spark, _nodes(spark, folder), backups=2).withColumn("version", F.lit(1).cast("long"))
+    second = C.next_version(first, C.assign(spark, _active(spark, folder), backups=2))
+    merged = C.newer(second.unionByName(first))
+    return merged.select("partition_id", "owner", F.array_join("backups", ",").alias("backups"), "version")
+
+
+def partition_promotion(spark: SparkSession, folder: str) -> DataFrame:
+    """The partition table after the dead nodes went and backups took over."""
+    table_ = C.assign(spark, _nodes(spark, folder), backups=2).withColumn("version", F.lit(1).cast("long"))
+    after = C.promote(table_, _nodes(spark, folder).where("state = 'dead'"))
+    return after.select("partition_id", "owner", F.array_join("backups", ",").alias("backups"), "version")
+
+
+def node_health(spark: SparkSession, folder: str) -> DataFrame:
+    """A report of each user as a node: state after a day of silence, coordinator, partitions."""
+    e = _events(spark, folder).select(F.col("user_id").cast("string").alias("address"), "ts")
+    nodes = e.select("address", F.lit("active").alias("state")).distinct()
+    now = F.lit("2024-01-30").cast("timestamp")
+    return C.health(nodes, e, C.assign(spark, nodes), now, DEAD_S).select("address", "state", "is_coordinator", "owned", "backed_up")
+
+
+def metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and sums of orders and events, observed while they are read for something else."""
+    o, orders = metered(table(spark, folder, "orders"), "orders", cents=F.sum(F.round(F.col("o_totalprice") * 100).cast("long")))
+    e, events = metered(_events(spark, folder), "events", users=F.max("user_id"))
+    o.select("o_orderkey").write.format("noop").mode("overwrite").save()
+    e.select("event_id").write.format("noop").mode("overwrite").save()
+    return reported(spark, orders, events)
+
+
+def task_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as tasks of the topic of their status; one topic has no handler."""
+    topics = tasks.Topics()
+    topics.listen("O", lambda key, message: {"cents": round(message["total"] * 100)})
+    topics.listen("F", lambda key, message: {"cents": 0})
+    o = table(spark, folder, "orders", "o_orderkey", "o_orderstatus", "o_totalprice")
+    sent = o.select(F.col("o_orderstatus").alias("topic"), F.col("o_orderkey").cast("string").alias("routing_key"), F.to_json(F.struct(F.col("o_totalprice").alias("total"))).alias("message"))
+    done = topics.route(sent, C.assign(spark, _active(spark, folder)))
+    return done.groupBy("status", "error").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("response", "$.cents").cast("long")).alias("cents"))
+
+
 def lock_timeline(spark: SparkSession, folder: str) -> DataFrame:
     """What each lock event did, with the fencing token."""
     return locks.timeline(_lock_events(spark, folder), HOLD_S)
@@ -136,7 +196,13 @@ t AS (
 n AS (SELECT seq AS g, row_number() OVER (ORDER BY seq) AS token FROM t WHERE outcome = 'granted'),
 l AS (SELECT t.*, token FROM t LEFT JOIN n USING (g) WHERE rn > 0)
 """
-QUERIES = {f.__name__: f for f in (rebalance_assign, rebalance_diff, partition_lookup, coordinator, shard_nodes, membership_diff, dead_nodes, quorum_timeline, membership_sessions, cluster_health, lock_timeline, locks_asof, task_route, task_broadcast)}
+LOCKS_SQL = _LOCKS
+# the same with a hold time of its own for each request, and releases that name a grant
+_HOLDS = _LOCKS.replace("epoch_us(ts) AS tm,", "epoch_us(ts) AS tm, CASE WHEN event_id % 2 = 0 THEN 360000000 ELSE 3600000000 END AS hold, CASE WHEN event_type = 'click' AND event_id % 3 = 0 THEN event_id END AS named,").replace("NULL::BIGINT AS tm FROM e", "NULL::BIGINT AS tm, NULL::BIGINT AS hold FROM e").replace("THEN g END, tm\n", "THEN g END, tm, CASE WHEN outcome IN ('granted', 'refreshed') THEN hold WHEN outcome IN ('denied', 'mismatch') THEN kept END\n").replace("e.tm < t.since + 3600000000 THEN", "e.tm < t.since + t.hold THEN").replace("t.since, t.g FROM t", "t.since, t.g, t.hold AS kept FROM t").replace("WHEN held = owner THEN 'released'", "WHEN held = owner AND (named IS NULL OR named = g) THEN 'released'")
+_BACKED = "a AS (SELECT partition_id, o.address AS owner, b1.address AS b1, b2.address AS b2 FROM p JOIN {n} o ON o.i = partition_id % o.c JOIN {n} b1 ON b1.i = (partition_id + 1) % b1.c JOIN {n} b2 ON b2.i = (partition_id + 2) % b2.c)"
+_ALL = "m AS (" + _ACTIVE.format("true")[len("n AS ("):]
+
+QUERIES = {f.__name__: f for f in (rebalance_assign, rebalance_diff, partition_lookup, coordinator, shard_nodes, membership_diff, dead_nodes, quorum_timeline, membership_sessions, cluster_health, lock_timeline, locks_asof, lock_counts, lock_holds, partition_versions, partition_promotion, node_health, metrics, task_topics, task_route, task_broadcast)}
 SQL = {
     "rebalance_assign": f"WITH {_A}, {_P} SELECT partition_id, o.address AS owner, b1.address || ',' || b2.address AS backups FROM p JOIN n o ON o.i = partition_id % o.c JOIN n b1 ON b1.i = (partition_id + 1) % b1.c JOIN n b2 ON b2.i = (partition_id + 2) % b2.c",
     "rebalance_diff": f"WITH {_A}, m AS ({_ACTIVE.format('true')[len('n AS ('):-1]}), {_P} SELECT partition_id, m.address AS old_owner, n.address AS new_owner FROM p JOIN n ON n.i = partition_id % n.c JOIN m ON m.i = partition_id % m.c WHERE m.address <> n.address",
@@ -151,6 +217,13 @@ SELECT address, CASE WHEN state IS NULL THEN 'joined' WHEN there AND state = 'de
     "cluster_health": "SELECT CASE WHEN s_acctbal >= 0 THEN 'nodes_active' ELSE 'nodes_dead' END AS metric, count(*) AS n FROM supplier GROUP BY 1 UNION ALL SELECT 'events_' || event_type, count(*) FROM events GROUP BY 1",
     "lock_timeline": f"WITH RECURSIVE {_LOCKS} SELECT seq, key, op, owner, outcome, holder, token FROM l",
     "locks_asof": f"WITH RECURSIVE {_LOCKS} SELECT key, holder, token FROM (SELECT * FROM l WHERE tm <= epoch_us(TIMESTAMP '2024-01-20 12:00:00') QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE holder IS NOT NULL AND since + 3600000000 > epoch_us(TIMESTAMP '2024-01-20 12:00:00')",
+    "lock_counts": f"WITH RECURSIVE {_LOCKS} SELECT key, count(*) FILTER (WHERE op = 'acquire') AS attempts, count(*) FILTER (WHERE outcome = 'granted') AS grants, count(*) FILTER (WHERE outcome = 'refreshed') AS refreshes, count(*) FILTER (WHERE outcome = 'denied') AS denials FROM l GROUP BY key",
+    "lock_holds": f"WITH RECURSIVE {_HOLDS} SELECT seq, key, op, owner, outcome, holder, token FROM l",
+    "partition_versions": f"WITH {_A}, {_ALL}, {_P}, {_BACKED.format(n='n')}, old AS (SELECT * FROM ({'WITH ' + _BACKED.format(n='m') + ' SELECT * FROM a'})) SELECT a.partition_id, a.owner, a.b1 || ',' || a.b2 AS backups, CASE WHEN a.owner = old.owner AND a.b1 = old.b1 AND a.b2 = old.b2 THEN 1 ELSE 2 END AS version FROM a JOIN old USING (partition_id)",
+    "partition_promotion": f"WITH {_A}, {_ALL}, {_P}, {_BACKED.format(n='m')}, s AS (SELECT partition_id, list_filter([owner, b1, b2], lambda x: list_contains(alive, x)) AS l FROM a, (SELECT list(address) AS alive FROM n)) SELECT partition_id, l[1] AS owner, array_to_string(l[2:], ',') AS backups, CASE WHEN len(l) = 3 THEN 1 ELSE 2 END AS version FROM s",
+    "node_health": f"WITH n AS (SELECT address, (row_number() OVER (ORDER BY address) - 1)::INT AS i, (count(*) OVER ())::INT AS c FROM (SELECT DISTINCT user_id::VARCHAR AS address FROM events)), {_P}, o AS (SELECT address, count(*) AS owned FROM p JOIN n ON i = partition_id % c GROUP BY 1), b AS (SELECT address, count(*) AS backed_up FROM p JOIN n ON i = (partition_id + 1) % c GROUP BY 1), s AS (SELECT user_id::VARCHAR AS address, CASE WHEN epoch_us(TIMESTAMP '2024-01-30') - epoch_us(max(ts)) > 86400000000 THEN 'dead' ELSE 'active' END AS state FROM events GROUP BY 1) SELECT address, state, coalesce(address = (SELECT min(address) FROM s WHERE state = 'active'), false) AS is_coordinator, coalesce(owned, 0) AS owned, coalesce(backed_up, 0) AS backed_up FROM s LEFT JOIN o USING (address) LEFT JOIN b USING (address)",
+    "metrics": "SELECT 'orders' AS source, 'rows' AS metric, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'orders', 'cents', sum(round(o_totalprice * 100)::BIGINT)::DOUBLE FROM orders UNION ALL SELECT 'events', 'rows', count(*)::DOUBLE FROM events UNION ALL SELECT 'events', 'users', max(user_id)::DOUBLE FROM events",
+    "task_topics": "SELECT CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'completed' END AS status, CASE WHEN o_orderstatus = 'P' THEN 'no handler for topic P' END AS error, count(*) AS n, sum(CASE o_orderstatus WHEN 'O' THEN round_even(o_totalprice * 100, 0)::BIGINT WHEN 'F' THEN 0 END)::BIGINT AS cents FROM orders GROUP BY ALL",
     "task_route": f"WITH {_A} SELECT address AS owner, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'completed' END AS status, CASE WHEN o_orderstatus = 'P' THEN 'pending' END AS error, count(*) AS n, sum(CASE WHEN o_orderstatus <> 'P' THEN round_even(o_totalprice * 100, 0)::BIGINT END)::BIGINT AS cents FROM orders JOIN n ON i = (('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 271) % c GROUP BY ALL",
     "task_broadcast": f"""WITH {_A}, {_P} SELECT DISTINCT '' AS routing_key, address AS owner, 'completed' AS status, '{{"pong": "ping"}}' AS response, NULL::VARCHAR AS error FROM p JOIN n ON i = partition_id % c""",
 }

@@ -7,17 +7,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shardloom.errors import InvalidArgument
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where that is unset, as in tests, a temporary folder is set instead."""
+    """The folder of spark.checkpoint.dir. Only a local session, as in tests, gets a temporary folder where that is unset."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise InvalidArgument("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="shardloom-")
         context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application in the shared folder; the file system deletes it when the driver ends."""
+    own = f"{shared_dir(spark)}/shardloom/{spark.sparkContext.applicationId}"
+    path, fs = _path(spark, own)
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return own
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Results that weren't written elsewhere can't be read afterwards."""
+    path, fs = _path(spark, f"{shared_dir(spark)}/shardloom/{spark.sparkContext.applicationId}")
+    fs.delete(path, True)
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df once as a Parquet table into the shared folder and read it back.
 
@@ -25,6 +50,6 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     that Catalyst decides about broadcasts by measured bytes. An empty df gives an empty table of the same schema.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/shardloom/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Reading the tables of a data folder. Schemas are stated, never inferred from data."""
+"""Reading the tables of a data folder. Their schemas are those that their Parquet files state."""
 
 from __future__ import annotations
 

@@ -98,3 +98,40 @@ def test_config():
     for bad in ({"root": ""}, {"root": "/x", "backups": -1}, {"root": "/x", "other": 1}):
         with pytest.raises(InvalidArgument):
             EngineConfig.from_dict(bad)
+
+
+def test_reads_deletes_and_default_collection(spark):
+    state = C.replay(log(spark, (1, "put", "a", "1", None), (2, "put", "b", "2", 1.0), (3, "put", "c", "3", None)))
+    entry = "pid int, col string, key string"
+    pid, col = state.select("pid", "col").first()
+    reads = spark.createDataFrame([(pid, col, "a", 9), (pid, col, "b", 1), (pid, col, "no", 9), (pid, col, "c", None)], f"{entry}, seq long")
+    assert {(r.key, r.last_access) for r in C.touched(state, reads).collect()} == {("a", 9), ("b", 2), ("c", 3)}
+    keys = spark.createDataFrame([(pid, col, k) for k in ("a", "b", "no", "a")], entry)
+    left, told = C.delete_one(state, keys, F.lit("2999-01-01").cast("timestamp"))
+    assert {r.key for r in left.collect()} == {"c"} and {(r.key, r.deleted) for r in told.collect()} == {("a", True), ("b", False), ("no", False)}
+    for call in (lambda: C.delete_many(state, keys, 1, 4), lambda: C.delete_one(state, keys, F.current_timestamp(), 1, 4), lambda: C.clear(state, keys, 1, 4)):
+        with pytest.raises(QuorumLost):
+            call()
+    assert C.clear(state, keys).count() == 0
+    named = C.in_collection(spark.createDataFrame([(None,), ("",), ("x",)], "col string"))
+    assert [r.col for r in named.collect()] == ["default", "default", "x"]
+
+
+def test_shared_folder(spark, monkeypatch):
+    from shardloom.errors import InvalidArgument
+    from shardloom.sources import scratch
+
+    df = scratch.materialize(spark.range(3), "t")
+    assert df.count() == 3 and spark.sparkContext.applicationId in scratch.own_dir(spark)
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(InvalidArgument):
+        scratch.shared_dir(Session)

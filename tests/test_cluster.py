@@ -56,3 +56,37 @@ def test_tasks(spark):
     assert done["a"].response == '{"n": 2}' and done["b"].status == "failed" and done["c"].response == "{}"
     assert done[None].error == "no owner"
     assert tasks.to_all(C.assign(spark, nodes(spark, "n1", "n2")), "{}", lambda k, m: None).count() == 2
+
+
+def test_versions_and_promotion(spark):
+    from shardloom.operators import cluster as C
+
+    schema = "partition_id int, owner string, backups array<string>, version long"
+    rows = [(0, "a", ["b"], 1), (0, "b", ["c"], 2), (0, "a", ["c"], 2), (1, "a", ["b", "c"], 5), (2, None, [], None)]
+    table = C.newer(spark.createDataFrame(rows, schema))
+    assert {tuple(r) for r in table.selectExpr("partition_id", "owner", "array_join(backups, ',')", "version").collect()} == {(0, "b", "c", 2), (1, "a", "b,c", 5)}
+    dead = spark.createDataFrame([("a",), ("c",)], "address string")
+    after = C.promote(table, dead)
+    assert {tuple(r) for r in after.selectExpr("partition_id", "owner", "array_join(backups, ',')", "version").collect()} == {(0, "b", "", 3), (1, "b", "", 6)}
+    same = C.next_version(table, table.drop("version"))
+    assert {(r.partition_id, r.version) for r in same.collect()} == {(0, 2), (1, 5)}
+    none = C.promote(table, spark.createDataFrame([("a",), ("b",), ("c",)], "address string"))
+    assert all(r.owner is None and r.backups == [] for r in none.collect())
+
+
+def test_topics(spark):
+    import pytest
+
+    from shardloom.errors import AlreadyExists, InvalidArgument
+    from shardloom.operators.tasks import Topics
+
+    topics = Topics()
+    topics.listen("t", lambda key, message: {"n": message["n"] + 1})
+    with pytest.raises(AlreadyExists):
+        topics.listen("t", lambda key, message: None)
+    with pytest.raises(InvalidArgument):
+        topics.listen("", lambda key, message: None)
+    table = spark.createDataFrame([(i, "a") for i in range(271)], "partition_id int, owner string")
+    sent = spark.createDataFrame([("t", "k", '{"n": 1}'), ("u", "k", None)], "topic string, routing_key string, message string")
+    assert {(r.status, r.response, r.error) for r in topics.route(sent, table).collect()} == {("completed", '{"n": 2}', None), ("failed", None, "no handler for topic u")}
+    assert topics.unlisten("t") and not topics.unlisten("t")

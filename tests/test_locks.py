@@ -62,3 +62,13 @@ def test_handle():
     free[0] = False
     with pytest.raises(LockAcquireTimeout):
         locks.acquire(attempt, lambda o: True, timeout_s=0.05, poll_s=0.01)
+
+
+def test_hold_times_and_tokens(spark):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [(1, "k", "acquire", "x", at(0), 5.0, None), (2, "k", "acquire", "y", at(6), None, None), (3, "k", "release", "y", at(7), None, 1), (4, "k", "acquire", "y", at(8), 100.0, None), (5, "k", "acquire", "x", at(60), None, None), (6, "k", "release", "y", at(61), None, 2), (7, "k", "release", "y", at(62), None, None)]
+    df = spark.createDataFrame(rows, "seq long, key string, op string, owner string, ts timestamp, hold_s double, grant long")
+    done = locks.timeline(df, 20.0)
+    got = {r.seq: (r.outcome, r.holder, r.token) for r in done.collect()}
+    assert got == {1: ("granted", "x", 1), 2: ("granted", "y", 2), 3: ("mismatch", "y", 2), 4: ("refreshed", "y", 2), 5: ("denied", "y", 2), 6: ("released", None, None), 7: ("free", None, None)}
+    assert [tuple(r) for r in locks.counts(done).collect()] == [("k", 4, 2, 1, 1)]
