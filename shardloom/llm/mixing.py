@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.sources.scratch import materialize
@@ -137,24 +137,59 @@ def _level(seed: int, leaf: bool, last: bool):
     return run
 
 
-def mix_sources(sized: DataFrame, targets: DataFrame, seed: int = 17, leaf_texts: int = LEAF_TEXTS, fan: int = FAN) -> DataFrame:
+def _level_of(wanted: DataFrame, shortfall: str) -> DataFrame:
+    """mix_name, level: what each unit of wanted size is given, before a source's bound cuts it.
+
+    wanted: mix_name, wanted, bound (the tokens that a source can give at most), a row a target. One pass over the sources of a
+    mix in order of bound / wanted: below the level all give their bound, above it all give level * wanted.
+    """
+    rows = wanted.where("wanted > 0").withColumn("ratio", F.col("bound") / F.col("wanted"))
+    if shortfall == "scale":  # all sources that hold anything reach their share of a smaller total
+        held = rows.where("bound > 0")
+        return held.groupBy("mix_name").agg(F.least(F.lit(1.0), F.min("ratio")).alias("level"))
+    before = Window.partitionBy("mix_name").orderBy("ratio", "source").rowsBetween(Window.unboundedPreceding, -1)
+    total = Window.partitionBy("mix_name")
+    spent, passed = (F.coalesce(F.sum(c).over(before), F.lit(0.0)) for c in ("bound", "wanted"))
+    level = (F.sum("wanted").over(total) - spent) / (F.sum("wanted").over(total) - passed)
+    fits = rows.withColumn("level", level).where("level <= ratio")
+    return fits.groupBy("mix_name").agg(F.min_by("level", F.struct("ratio", "source")).alias("level"))
+
+
+SHORTFALLS = ("leave", "fill", "scale")
+
+
+def mix_sources(sized: DataFrame, targets: DataFrame, seed: int = 17, leaf_texts: int = LEAF_TEXTS, fan: int = FAN, shortfall: str = "leave") -> DataFrame:
     """mix_name, doc_id, source, n_tokens, copies: the texts of each mix, copies at least 1.
 
     sized: doc_id, source, h1, h2, n_tokens; targets: mix_name, source, target_share, max_repeats, budget_ratio.
     Equal texts count once a mix, under their smallest doc_id within the mix's sources, so that no text exceeds
     max_repeats. Rows without source, without size, or of sources outside a mix take no part in it, but count for the
-    size of all documents that budget_ratio refers to. A null share counts as 0, null max_repeats as 1. A source that
-    cannot reach its share stays below it; the others keep their wanted size. Same seed, same result.
+    size of all documents that budget_ratio refers to. A null share counts as 0, null max_repeats as 1. Same seed, same
+    result.
+
+    A source that cannot reach its share even with all its repeats stays below it. What becomes of the rest is stated by
+    `shortfall`: leave - the other sources keep their wanted size, and the mix is smaller; fill - what is missing is
+    taken from the others in proportion to their shares, as far as they can give it, so that the mix has its wanted
+    size; scale - the mix is made so much smaller that every source that has anything reaches its share of it.
     """
+    if shortfall not in SHORTFALLS:
+        raise ValueError(f"shortfall must be one of {SHORTFALLS}")
     total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))  # one row
     wanted = targets.crossJoin(F.broadcast(total)).select("mix_name", "source", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("most"), (F.coalesce("target_share", F.lit(0.0)) * F.coalesce("budget_ratio", F.lit(0.0)) * F.col("total")).alias("wanted"))
     usable = sized.where("n_tokens > 0").join(wanted.select("mix_name", "source"), "source")
     texts = usable.groupBy("mix_name", "h1", "h2").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("t")).select("mix_name", "t.*")
     texts = materialize(texts, "mix-texts")
     held = texts.groupBy("mix_name", "source").agg(F.sum("n_tokens").alias("held"), F.count(F.lit(1)).alias("texts"))
-    rate = F.least(F.col("most").cast("double"), F.col("wanted") / F.col("held"))
+    bounded = held.join(wanted, ["mix_name", "source"]).withColumn("bound", (F.col("most") * F.col("held")).cast("double"))
+    if shortfall == "leave":
+        bounded = bounded.withColumn("level", F.lit(1.0))
+    else:
+        every = wanted.join(bounded.select("mix_name", "source", "bound"), ["mix_name", "source"], "left").select("mix_name", "source", "wanted", F.coalesce("bound", F.lit(0.0)).alias("bound"))
+        # no level: all sources give what they can
+        bounded = bounded.join(_level_of(materialize(every, "mix-bounds"), shortfall), "mix_name", "left").withColumn("level", F.coalesce("level", F.lit(float("inf"))))
+    rate = F.when(F.col("wanted") > 0, F.least(F.col("most").cast("double"), F.col("level") * F.col("wanted") / F.col("held"))).otherwise(0.0)
     leaves = F.ceil(F.col("texts") / leaf_texts)
-    rates = materialize(held.join(wanted, ["mix_name", "source"]).select("mix_name", "source", rate.alias("rate"), leaves.alias("leaves")), "mix-rates")
+    rates = materialize(bounded.select("mix_name", "source", rate.alias("rate"), leaves.alias("leaves")), "mix-rates")
     most = rates.agg(F.max("leaves")).first()[0] or 1  # one number: the width of the tree
     units = texts.join(rates, ["mix_name", "source"]).select(
         "mix_name", "source", F.pmod(F.xxhash64("doc_id"), F.col("leaves")).alias("node"), "doc_id", "n_tokens",
@@ -170,6 +205,31 @@ def mix_sources(sized: DataFrame, targets: DataFrame, seed: int = 17, leaf_texts
     return done.select("mix_name", "doc_id", "source", "n_tokens", copies).where("copies > 0")
 
 
+def promised_totals(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """shortfall, mix_name, promised, slack: the size that each way with shortfalls gives each mix, from what its sources hold.
+
+    Rounding leaves one text a source undecided, so sizes are met up to slack, the sum of the sources' largest texts.
+    """
+    total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
+    wanted = targets.crossJoin(F.broadcast(total)).select("mix_name", "source", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("most"), (F.coalesce("target_share", F.lit(0.0)) * F.coalesce("budget_ratio", F.lit(0.0)) * F.col("total")).alias("wanted"))
+    texts = sized.where("n_tokens > 0").join(wanted.select("mix_name", "source"), "source").groupBy("mix_name", "h1", "h2").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("t"))
+    held = texts.groupBy("mix_name", F.col("t.source").alias("source")).agg(F.sum("t.n_tokens").alias("held"), F.max("t.n_tokens").alias("largest"))
+    rows = wanted.join(held, ["mix_name", "source"], "left").withColumn("bound", F.col("most") * F.coalesce("held", F.lit(0)))
+    some = (F.col("bound") > 0) & (F.col("wanted") > 0)
+    by = rows.groupBy("mix_name").agg(
+        F.sum(F.least("wanted", "bound")).alias("leave"), F.least(F.sum("wanted"), F.sum(F.when(F.col("wanted") > 0, F.col("bound")))).alias("fill"),
+        (F.least(F.lit(1.0), F.min(F.when(some, F.col("bound") / F.col("wanted")))) * F.sum(F.when(some, F.col("wanted")))).alias("scale"), F.coalesce(F.sum("largest"), F.lit(0)).alias("slack"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("shortfall"), F.coalesce(F.col(k), F.lit(0.0)).alias("promised")) for k in SHORTFALLS])).alias("e")
+    return by.select("mix_name", "slack", each).select("e.shortfall", "mix_name", "e.promised", "slack")
+
+
+def reached_totals(mixed: DataFrame, targets: DataFrame) -> DataFrame:
+    """mix_name, reached_tokens, over: the size of each mix, and how many of its texts stand in it more often than they may."""
+    most = targets.select("mix_name", "source", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("most"))
+    used = mixed.join(most, ["mix_name", "source"]).groupBy("mix_name").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("reached_tokens"), F.count_if(F.col("copies") > F.col("most")).alias("over"))
+    return targets.select("mix_name").distinct().join(used, "mix_name", "left").select("mix_name", F.coalesce("reached_tokens", F.lit(0)).alias("reached_tokens"), F.coalesce("over", F.lit(0)).alias("over"))
+
+
 def reached_shares(mixed: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFrame:
     """A row a target: wanted and reached size and share, texts used and the most copies of one."""
     total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))

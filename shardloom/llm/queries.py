@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm.leakage import leaked_passages
-from shardloom.llm.mixing import mix_sources, reached_shares, sized_texts
+from shardloom.llm.mixing import SHORTFALLS, mix_sources, promised_totals, reached_shares, reached_totals, sized_texts
 from shardloom.llm.neardup import NearDuplicates
 from shardloom.llm.residue import residue
 from shardloom.llm.splitting import split_oversized
@@ -68,13 +68,13 @@ def _sized(spark: SparkSession, folder: str, **how) -> DataFrame:
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The texts of each mix with their copies; sizes in tokens of the public byte-level vocabulary."""
-    return mix_sources(_sized(spark, folder), table(spark, folder, "mix_targets"))
+    return mix_sources(_sized(spark, folder), table(spark, folder, "mix_targets"), shortfall="fill")
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Wanted and reached shares of each mix and source."""
     sized, targets = _sized(spark, folder), table(spark, folder, "mix_targets")
-    return reached_shares(mix_sources(sized, targets), sized, targets)
+    return reached_shares(mix_sources(sized, targets, shortfall="fill"), sized, targets)
 
 
 def p7_shares_plain(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,6 +83,29 @@ def p7_shares_plain(spark: SparkSession, folder: str) -> DataFrame:
     return reached_shares(mix_sources(sized, targets), sized, targets)
 
 
+def p7_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Under each way with shortfalls, in runs without white space: texts beyond their repeats, and the mix's size, which is what the way promises up to one text a source."""
+    sized, targets = _sized(spark, folder, vocabulary=None), table(spark, folder, "mix_targets")
+    out = None
+    for way in SHORTFALLS:
+        rows = reached_totals(mix_sources(sized, targets, shortfall=way), targets)
+        rows = rows.select(F.lit(way).alias("shortfall"), "mix_name", "over", F.col("reached_tokens").alias("tokens"))
+        out = rows if out is None else out.unionByName(rows)
+    promised = promised_totals(sized, targets)
+    near = (F.abs(F.col("tokens") - F.col("promised")) <= F.col("slack")).alias("near")
+    return out.join(promised, ["shortfall", "mix_name"]).select("shortfall", "mix_name", "over", F.round("promised").cast("long").alias("promised"), near)
+
+
+def p3_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each split record: tokens less the overlaps, first and last character, whether all pieces are within the limit."""
+    sizes = table(spark, folder, "indices").select("index_name", F.col("max_parent_chunk_size").alias("most"), F.coalesce("parent_chunk_overlap_size", F.lit(0)).alias("lap"))
+    pieces = p3_pieces(spark, folder).join(sizes, "index_name")
+    lap = F.least(F.greatest("lap", F.lit(0)), F.col("most") - 1)
+    return pieces.groupBy("document_id").agg(
+        (F.sum(F.col("n_tokens") - lap) + F.max(lap)).cast("long").alias("n_tokens"), F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"),
+        (F.max(F.col("n_tokens") - F.col("most")) <= 0).alias("fits"), (F.max("piece") + 1 == F.count(F.lit(1))).alias("numbered"))
+
+
 def p8_reasons(spark: SparkSession, folder: str) -> DataFrame:
     """Documents to exclude, with the reason."""
     return residue(table(spark, folder, "documents", "doc_id", "text"))
@@ -93,7 +116,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_reasons(spark, folder).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p5_found, p5_neighbours, p6_found, p6_passages, p7_mix, p7_shares, p7_shares_plain, p8_found, p8_reasons)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p3_checks, p5_found, p5_neighbours, p6_found, p6_passages, p7_mix, p7_shares, p7_shares_plain, p7_totals, p8_found, p8_reasons)}
 _WORDS = r"list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 _PAIRS = f"""WITH RECURSIVE d AS (SELECT DISTINCT document_id, {_WORDS.format('title')} AS t, {_WORDS.format('content')} AS c FROM document_store),
 w AS (SELECT document_id, list_concat(t, c) AS w FROM d WHERE len(c) >= 20),
@@ -122,6 +145,14 @@ k AS (SELECT a, count(*) AS links FROM e GROUP BY a)
 SELECT document_id, min(g) AS group_id, coalesce(any_value(links), 0) AS links FROM r LEFT JOIN k ON k.a = document_id GROUP BY document_id""",
     "p3_found": r"""SELECT DISTINCT d.document_id FROM document_store d JOIN indices i ON d.index_name = i.index_name
 WHERE i.max_parent_chunk_size > 0 AND len(regexp_extract_all(d.content, '[^ \t\n\r\f]+')) > i.max_parent_chunk_size""",
+    "p3_checks": r"""WITH d AS (SELECT DISTINCT document_id, index_name, content FROM document_store), j AS (SELECT d.*, len(regexp_extract_all(d.content, '[^ \t\n\r\f]+')) AS n, max_parent_chunk_size AS m FROM d JOIN indices i USING (index_name))
+SELECT document_id, n AS n_tokens, length(regexp_extract(content, '^[ \t\n\r\f]*'))::INTEGER AS start_char, length(regexp_replace(content, '[ \t\n\r\f]+$', ''))::INTEGER AS end_char, true AS fits, true AS numbered FROM j WHERE m > 0 AND n > m""",
+    "p7_totals": r"""WITH t AS (SELECT doc_id, source, text, len(regexp_extract_all(text, '[^ \t\n\r\f]+')) AS n FROM documents WHERE text IS NOT NULL),
+w AS (SELECT mix_name, source, greatest(coalesce(max_repeats, 1), 0) AS most, coalesce(target_share, 0) * coalesce(budget_ratio, 0) * (SELECT sum(n) FROM t) AS wanted FROM mix_targets),
+u AS (SELECT w.mix_name, arg_min(t.source, doc_id) AS source, any_value(n) AS n FROM t JOIN w USING (source) WHERE n > 0 GROUP BY w.mix_name, text),
+b AS (SELECT w.mix_name, w.source, wanted, most * coalesce(held, 0) AS bound FROM w LEFT JOIN (SELECT mix_name, source, sum(n) AS held FROM u GROUP BY ALL) USING (mix_name, source)),
+s AS (SELECT mix_name, sum(wanted) AS wanted, sum(CASE WHEN wanted > 0 THEN bound END) AS bound, sum(least(wanted, bound)) AS kept, least(1, min(CASE WHEN bound > 0 AND wanted > 0 THEN bound / wanted END)) * sum(CASE WHEN bound > 0 THEN wanted END) AS scaled FROM b GROUP BY mix_name)
+SELECT v.k AS shortfall, mix_name, 0::BIGINT AS over, round(CASE v.k WHEN 'leave' THEN kept WHEN 'fill' THEN least(wanted, bound) ELSE scaled END)::BIGINT AS promised, true AS near FROM s, (VALUES ('leave'), ('fill'), ('scale')) v(k)""",
     "p5_found": """WITH v AS (SELECT vec_id, any_value(embedding)::DOUBLE[] AS e FROM child_chunks WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
 c AS (SELECT a.vec_id AS q, b.vec_id AS o, list_cosine_similarity(a.e, b.e) AS s FROM knn_probes k JOIN v a ON a.vec_id = k.vec_id JOIN v b ON b.vec_id <> a.vec_id),
 t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(s, 12) DESC, o) <= 10)

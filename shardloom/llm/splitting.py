@@ -3,7 +3,7 @@
 A text is cut into byte ranges. A worker sees a range with a halo (64 bytes before it, one after it) and finds the
 tokens that start and end there, the number of code points, and the natural boundaries: token starts before which a
 paragraph, a sentence or a line ends. The tables of a text's ranges are stitched by prefix sums of their counts; pieces
-are chosen on the boundary table alone, which has a few bytes a sentence; a second look at the ranges that hold an edge
+are chosen on the boundary tables alone, range after range, with a piece's worth of them in memory; a second look at the ranges that hold an edge
 of a piece turns token numbers into offsets. No step after the scan holds a whole text. A text of one range takes the
 same steps within its task, without a shuffle.
 
@@ -83,14 +83,15 @@ def gap_of_range(raw: bytes, left: int, right: int) -> list[int]:
     return [int(crosses), int(lines[first] - lines[left]), int(feeds[first] - feeds[left]), int(_NO_START[buf[first]]), 1, int(stop), int(lines[end] - lines[last + 1]), int(feeds[end] - feeds[last + 1])]
 
 
-def _first_kinds(gaps: list[list[int]]) -> list[int]:
-    """Kind of the boundary before the first token of each range, 0 where the range sees it all itself."""
-    out, stop, lines, feeds = [], 0, 0, 0
-    for crosses, head_lines, head_feeds, low, marked, ends, tail_lines, tail_feeds in gaps:
-        many, fed = lines + head_lines, feeds + head_feeds
-        out.append((3 if many > 1 or fed else 2 if stop and not low else 1 if many else 0) if crosses else 0)
-        stop, lines, feeds = (ends, tail_lines, tail_feeds) if marked else (stop, many, fed)
-    return out
+def _first_kind(gap: list[int], stop: int, lines: int, feeds: int) -> tuple[int, int, int, int]:
+    """Kind of the boundary before the first token of a range, 0 where the range sees it all itself, and what to carry on.
+
+    Carried: whether a sentence ends with the last mark so far, and the line ends and form feeds after it.
+    """
+    crosses, head_lines, head_feeds, low, marked, ends, tail_lines, tail_feeds = gap
+    many, fed = lines + head_lines, feeds + head_feeds
+    first = (3 if many > 1 or fed else 2 if stop and not low else 1 if many else 0) if crosses else 0
+    return (first, ends, tail_lines, tail_feeds) if marked else (first, stop, many, fed)
 
 
 def scan_range(raw: bytes, left: int, right: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
@@ -124,21 +125,25 @@ def scan_range(raw: bytes, left: int, right: int) -> tuple[np.ndarray, np.ndarra
     return lead[start - left] - 1, lead[end - left], int(lead[-1]) if len(lead) else 0, kind.astype(np.uint8)
 
 
+def _cut(at: list[int], kind: list[int], s: int, limit: int, overlap: int) -> tuple[int, int]:
+    """Where a piece from token s on ends, and the kind of that cut; boundaries stand before the tokens `at`."""
+    most, least = s + limit, s + overlap + 1
+    lo, hi = bisect_left(at, max(least, s + (limit + 1) // 2)), bisect_right(at, most)
+    if lo < hi:
+        best = max(kind[lo:hi])
+        i = next(i for i in range(hi - 1, lo - 1, -1) if kind[i] == best)
+        return at[i], best
+    if bisect_left(at, least) < lo:
+        return at[lo - 1], kind[lo - 1]
+    return most, 0
+
+
 def choose_pieces(tokens: int, at: list[int], kind: list[int], limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """(first token, token after the last, kind of the cut) of each piece; boundaries stand before the tokens `at`."""
     overlap = min(max(overlap, 0), limit - 1)
     out, s = [], 0
     while s + limit < tokens:
-        most, least = s + limit, s + overlap + 1
-        lo, hi = bisect_left(at, max(least, s + (limit + 1) // 2)), bisect_right(at, most)
-        if lo < hi:
-            best = max(kind[lo:hi])
-            i = next(i for i in range(hi - 1, lo - 1, -1) if kind[i] == best)
-            cut, why = at[i], best
-        elif bisect_left(at, least) < lo:
-            cut, why = at[lo - 1], kind[lo - 1]
-        else:
-            cut, why = most, 0
+        cut, why = _cut(at, kind, s, limit, overlap)
         out.append((s, cut, why))
         s = cut - overlap
     if tokens:
@@ -195,22 +200,71 @@ def _boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _EDGE = "document_id string, index_name string, loaded_at timestamp, version long, r int, base int, token int, is_end boolean, piece int, n_tokens int, boundary string"
 
 
+class Chooser:
+    """choose_pieces() over a text that comes range by range: what lies before the current piece is forgotten.
+
+    A cut is known as soon as the token after the limit is, so that a piece's worth of boundaries and ranges is held.
+    """
+
+    def __init__(self, limit: int, overlap: int) -> None:
+        self.limit, self.overlap = limit, min(max(overlap, 0), limit - 1)
+        self.s = self.pieces = self.begun = self.ended = self.chars = 0
+        self.at: list[int] = []
+        self.kind: list[int] = []
+        self.ranges: list[tuple[int, int, int, int]] = []  # r, and starts, ends and code points before it
+        self.gap = (0, 0, 0)
+
+    def _place(self, token: int, ends: bool) -> tuple[int, int, int]:
+        """Range, code points before it, and the token's number among those that start (end) there."""
+        i = bisect_right(self.ranges, token, key=lambda x: x[2 if ends else 1]) - 1
+        r, begun, ended, chars = self.ranges[i]
+        return r, chars, token - (ended if ends else begun)
+
+    def _piece(self, end: int, why: int) -> list[tuple]:
+        out = [(*self._place(t, e), e, self.pieces, end - self.s, KINDS[why]) for t, e in ((self.s, False), (end - 1, True))]
+        self.pieces += 1
+        return out
+
+    def feed(self, r: int, starts: int, ends: int, chars: int, gap: list[int], at: list[int], kind: list[int]) -> list[tuple]:
+        """Edges of the pieces that a further range decides: r, code points before, token, is_end, piece, n_tokens, boundary."""
+        first, *self.gap = _first_kind(gap, *self.gap)
+        self.ranges.append((r, self.begun, self.ended, self.chars))
+        self.at += [self.begun] * (first > 0) + [a + self.begun for a in at]
+        self.kind += [first] * (first > 0) + kind
+        self.begun, self.ended, self.chars = self.begun + starts, self.ended + ends, self.chars + chars
+        out, passed = [], 0
+        while self.s + self.limit < self.begun:
+            cut, why = _cut(self.at, self.kind, self.s, self.limit, self.overlap)
+            out += self._piece(cut, why)
+            self.s = cut - self.overlap
+        passed = bisect_left(self.at, self.s)
+        del self.at[:passed], self.kind[:passed]
+        passed = bisect_right(self.ranges, self.s, key=lambda x: x[1]) - 1
+        del self.ranges[: max(0, passed)]
+        return out
+
+    def last(self) -> list[tuple]:
+        """Edges of the last piece; none where the text is within the limit."""
+        return self._piece(self.begun, 4) if self.pieces else []
+
+
 def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of pieces, each addressed by range and token within it."""
+    """Edges of pieces, each addressed by range and token within it, from boundary tables sorted by text and range."""
     schema = _arrow(_EDGE)
+    now, at_range, chooser = None, -1, None
     for batch in batches:
-        for doc, index, loaded, version, limit, overlap, ranges in zip(*(c.to_pylist() for c in batch.columns)):
-            ranges.sort(key=lambda x: x["r"])
-            begun, ended, chars = (np.r_[0, np.cumsum([x[c] for x in ranges])] for c in ("starts", "ends", "chars"))
-            first = [[f] if f else [] for f in _first_kinds([x["gap"] for x in ranges])]
-            at = np.concatenate([np.r_[np.zeros(len(f), np.int64), np.frombuffer(x["at"], "<i4")] + b for x, b, f in zip(ranges, begun, first)])
-            kind = np.concatenate([np.r_[np.array(f, np.uint8), np.frombuffer(x["kind"], np.uint8)] for x, f in zip(ranges, first)])
-            rows = []
-            for i, (a, b, why) in enumerate(choose_pieces(int(begun[-1]), at.tolist(), kind.tolist(), limit, overlap)):
-                for token, sums, is_end in ((a, begun, False), (b - 1, ended, True)):
-                    k = int(np.searchsorted(sums, token, "right")) - 1
-                    rows.append((doc, index, loaded, version, ranges[k]["r"], int(chars[k]), token - int(sums[k]), is_end, i, b - a, KINDS[why]))
-            yield _batches(schema, rows)
+        rows = []
+        for *key, limit, overlap, r, starts, ends, chars, gap, at, kind in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != now:
+                if chooser:
+                    rows += [(*now, *e) for e in chooser.last()]
+                now, at_range, chooser = key, -1, Chooser(limit, overlap)
+            if r != at_range:  # copies of a row give equal ranges
+                at_range = r
+                rows += [(*key, *e) for e in chooser.feed(r, starts, ends, chars, gap, np.frombuffer(at, "<i4").tolist(), np.frombuffer(kind, np.uint8).tolist())]
+        yield _batches(schema, rows)
+    if chooser:
+        yield _batches(schema, [(*now, *e) for e in chooser.last()])
 
 
 _FOUND = "document_id string, index_name string, loaded_at timestamp, version long, piece int, n_tokens int, boundary string, start_char int, end_char int"
@@ -229,6 +283,57 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batches(schema, rows)
 
 
+def _pieces_of_ranges(ranges: DataFrame) -> DataFrame:
+    """Pieces of texts that come as ranges: document_id, index_name, loaded_at, version, limit, overlap, r, left, right, part.
+
+    The ranges of a text pass a task in order, with the state of a piece; their bytes don't.
+    """
+    key = ("document_id", "index_name", "loaded_at", "version")
+    tables = ranges.mapInArrow(_boundaries, _TABLE).repartition(*key).sortWithinPartitions(*key, "limit", "overlap", "r")
+    edges = tables.mapInArrow(_stitch, _EDGE)
+    by_range = edges.groupBy(*key, "r").agg(F.collect_list(F.struct("base", "token", "is_end", "piece", "n_tokens", "boundary")).alias("edges"))  # no more than tokens of a range
+    again = ranges.withColumnsRenamed({c: f"_{c}" for c in (*key, "r")})
+    same = [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in (*key, "r")]
+    held = by_range.join(again, same).select(*key, "left", "right", "part", "edges").mapInArrow(_locate, _FOUND)
+    return held.groupBy(*key, "piece", "n_tokens", "boundary").agg(F.max("start_char").alias("start_char"), F.max("end_char").alias("end_char"))
+
+
+def split_files(files: DataFrame, limit: int, overlap: int, range_bytes: int = 64 * RANGE_BYTES) -> DataFrame:
+    """Pieces of text files (path) in UTF-8 with more than `limit` tokens: path, piece, start_char, end_char, n_tokens, boundary.
+
+    Workers read byte ranges of the files by offset, so that no file is ever loaded as a whole. Repeated paths count
+    once; files within the limit, empty ones too, give no pieces. Paths are local, or URIs that pyarrow's file systems know.
+    """
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array([_store(p)[0].get_file_info(_store(p)[1]).size or 0 for p in paths], pa.int64())], ["path", "size"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("r", pa.int32()), ("left", pa.int32()), ("right", pa.int32()), ("part", pa.binary())])
+        for batch in batches:
+            for path, size, r in zip(*(c.to_pylist() for c in batch.columns)):
+                begin = r * range_bytes
+                left, right = min(begin, HALO), int(begin + range_bytes < size)
+                store, at = _store(path)
+                with store.open_input_file(at) as f:
+                    yield _batches(schema, [(path, r, left, right, f.read_at(min(left + range_bytes + right, size - begin + left), begin - left))])
+
+    known = files.select("path").where("path IS NOT NULL").distinct().mapInArrow(sizes, "path string, size long").where("size > 0")
+    each = known.select("path", "size", F.explode(F.sequence(F.lit(0), ((F.col("size") - 1) / range_bytes).cast("int"))).alias("r")).repartition("path", "r")
+    parts = each.mapInArrow(read, "path string, r int, left int, right int, part binary")
+    null = lambda kind: F.lit(None).cast(kind)
+    ranges = parts.select(F.col("path").alias("document_id"), null("string").alias("index_name"), null("timestamp").alias("loaded_at"), null("long").alias("version"), F.lit(limit).alias("limit"), F.lit(overlap).alias("overlap"), "r", "left", "right", "part")
+    return _pieces_of_ranges(ranges).select(F.col("document_id").alias("path"), "piece", "start_char", "end_char", "n_tokens", "boundary")
+
+
+def _store(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 def split_oversized(documents: DataFrame, limits: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Pieces of the texts that have more tokens than their index allows.
 
@@ -254,18 +359,7 @@ def split_oversized(documents: DataFrame, limits: DataFrame, range_bytes: int =
     left = F.least(begin, F.lit(HALO))
     right = F.when(begin + range_bytes < size, 1).otherwise(0)
     ranges = long.select(*head, "r", left.alias("left"), right.alias("right"), F.substring("raw", begin - left + 1, left + range_bytes + right).alias("part"))
-    ranges = ranges.repartition(F.col("document_id"), F.col("r"))  # the ranges of one text go to many tasks
-    tables = ranges.mapInArrow(_boundaries, _TABLE)
-    part = F.struct("r", "starts", "ends", "chars", "gap", "at", "kind")
-    grouped = tables.groupBy(*head).agg(F.collect_set(part).alias("ranges"))  # copies of a row give equal structs
-    big = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, x: a + x["starts"]) > F.col("limit")
-    edges = grouped.where(big).select(*head, "ranges").mapInArrow(_stitch, _EDGE)
-    key = ("document_id", "index_name", "loaded_at", "version")
-    by_range = edges.groupBy(*key, "r").agg(F.collect_list(F.struct("base", "token", "is_end", "piece", "n_tokens", "boundary")).alias("edges"))
-    again = ranges.withColumnsRenamed({c: f"_{c}" for c in (*key, "r")})
-    same = [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in (*key, "r")]
-    held = by_range.join(again, same).select(*key, "left", "right", "part", "edges").mapInArrow(_locate, _FOUND)
-    far = held.groupBy(*key, "piece", "n_tokens", "boundary").agg(F.max("start_char").alias("start_char"), F.max("end_char").alias("end_char"))
+    far = _pieces_of_ranges(ranges.repartition(F.col("document_id"), F.col("r")))  # the ranges of one text go to many tasks
 
     pieces = short.unionByName(far)
     latest = documents.where(F.col("document_id").isNotNull()).groupBy("document_id").agg(F.max(F.struct("loaded_at", version.alias("version"))).alias("last"))

@@ -78,3 +78,21 @@ def test_sizes(spark):
     assert plain == {1: 2, 2: 0, 3: 0, 4: 0, 5: 2}
     bpe = {r.doc_id: r.n_tokens for r in sized_texts(docs).collect()}
     assert bpe[1] == 3 and bpe[2] == bpe[3] == bpe[4] == 0 and bpe[5] > 3
+
+
+def test_shortfalls(spark):
+    """One source holds a tenth of its share, one nothing: the others keep their size, fill up in proportion, or all shrink."""
+    rows = [(i, "few", 2 * i + 1, 0, 10) for i in range(10)] + [(1000 + i, "big", 2 * i + 1, 1, 10) for i in range(3000)] + [(9000 + i, "mid", 2 * i + 1, 2, 10) for i in range(500)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, h1 long, h2 long, n_tokens long")
+    ratio = 10_000 / 35_100
+    targets = spark.createDataFrame([("m", "few", 0.1, 1, ratio), ("m", "big", 0.5, 1, ratio), ("m", "mid", 0.3, 2, ratio), ("m", "none", 0.1, 5, ratio)], "mix_name string, source string, target_share double, max_repeats int, budget_ratio double")
+    got = {w: {r.source: r.reached_tokens for r in reached_shares(mix_sources(sized, targets, shortfall=w), sized, targets).collect()} for w in ("leave", "fill", "scale")}
+    assert got["leave"] == {"few": 100, "big": 5000, "mid": 3000, "none": 0}
+    assert got["fill"]["few"] == 100 and abs(got["fill"]["big"] - 9900 * 5 / 8) <= 10 and abs(sum(got["fill"].values()) - 10_000) <= 20
+    assert got["scale"] == {"few": 100, "big": 500, "mid": 300, "none": 0}
+    with pytest.raises(ValueError):
+        mix_sources(sized, targets, shortfall="drop")
+    # more than all can give: every source gives what it has
+    huge = targets.withColumn("budget_ratio", targets.budget_ratio * 100)
+    most = {r.source: r.reached_tokens for r in reached_shares(mix_sources(sized, huge, shortfall="fill"), sized, huge).collect()}
+    assert most == {"few": 100, "big": 30_000, "mid": 10_000, "none": 0}

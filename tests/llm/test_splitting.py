@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from shardloom.llm.splitting import choose_pieces, scan_range, split_oversized
+from shardloom.llm.splitting import KINDS, Chooser, choose_pieces, scan_range, split_files, split_oversized
 
 T = dt.datetime(2025, 1, 1)
 DOC = "document_id string, index_name string, content string, loaded_at timestamp, version int, piece int"
@@ -110,3 +110,37 @@ def test_pieces_cover(n, limit, overlap):
 def test_scan_counts_code_points():
     start, end, chars, _ = scan_range("é 字字 x".encode(), 0, 0)
     assert start.tolist() == [0, 2, 5] and end.tolist() == [1, 4, 6] and chars == 6
+
+
+def test_chooser_equals_the_whole_table():
+    """Pieces chosen range by range are those chosen on all boundaries, whatever the ranges."""
+    rng = random.Random(2)
+    for _ in range(60):
+        n = rng.randint(1, 200)
+        bounds = {a: rng.randint(1, 3) for a in sorted(rng.sample(range(1, n + 1), min(n, rng.randint(0, 40)))) if a < n}
+        limit, overlap = rng.randint(1, 30), rng.randint(0, 12)
+        chooser, got, lo, r = Chooser(limit, overlap), [], 0, 0
+        while lo < n:
+            hi = min(n, lo + rng.randint(0, 25))
+            at = [a for a in bounds if lo <= a < hi]
+            got += chooser.feed(r, hi - lo, hi - lo, 10, [0, 0, 0, 0, 1, 0, 0, 0], [a - lo for a in at], [bounds[a] for a in at])
+            lo, r = hi, r + 1
+        got += chooser.last()
+        want = choose_pieces(n, list(bounds), list(bounds.values()), limit, overlap)
+        if len(want) == 1:
+            assert not got
+        else:
+            assert [(p, k, why) for *_, e, p, k, why in got if not e] == [(i, b - a, KINDS[w]) for i, (a, b, w) in enumerate(want)]
+
+
+def test_files_by_byte_ranges(spark, tmp_path):
+    rng = random.Random(5)
+    texts = {f"f{i}.txt": random_text(rng, n) for i, n in enumerate((2, 40, 700))} | {"empty.txt": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    limits = spark.createDataFrame([("a", 10, 3)], LIMIT)
+    want = sorted((r.document_id, r.piece, r.start_char, r.end_char, r.n_tokens, r.boundary) for r in split_oversized(docs(spark, [(n, "a", t) for n, t in texts.items()]), limits).collect())
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in [*texts, "f2.txt"]], "path string")
+    for size in (97, 1 << 20):
+        got = sorted((r.path.rsplit("/", 1)[-1], *list(r)[1:]) for r in split_files(paths, 10, 3, size).collect())
+        assert got == want and want
