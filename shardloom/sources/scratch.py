@@ -43,13 +43,31 @@ def sweep(spark: SparkSession) -> None:
     fs.delete(path, True)
 
 
+#: Spark's own setting by which a query's shuffle files are deleted when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df once as a Parquet table into the shared folder and read it back.
 
     Unlike a checkpoint it computes df once, survives the loss of executors, and the reader knows its size, so
     that Catalyst decides about broadcasts by measured bytes. An empty df gives an empty table of the same schema.
+    The shuffle files of the write are deleted after it, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a materialized table that no plan reads any more."""
+    path, fs = _path(table.sparkSession, table._scratch)
+    fs.delete(path, True)
