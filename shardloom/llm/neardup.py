@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm.lexing import WordHashes, mix, shingle_hashes, words
-from shardloom.sources.scratch import materialize
+from shardloom.sources.scratch import discard, materialize
 
 #: Records whose cells make up a bucket, on the average.
 BUCKET_RECORDS = 10_000
@@ -352,6 +352,7 @@ class NearDuplicates:
         renamed = counts.select("of", "part", F.col("counted").alias("payload"))
         common = cells.groupBy("bucket", "share").cogroup(renamed.groupBy("of", "part")).applyInPandas(_shared_cells(buckets), "bucket int, cells int, grp int, payload binary")
         posted = materialize(common.groupBy("grp").applyInPandas(_prefixes(similarity, shared), _PACKED), "posted")
+        discard(prints)
 
         lists = shares(posted)
         every, mine = F.sequence(F.lit(0), F.col("shares") - 1), F.col("share")

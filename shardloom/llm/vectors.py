@@ -62,7 +62,7 @@ def _orders(pivots: np.ndarray, order: int, posted: int):
     dim = pivots.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             x = _matrix(batch.column(1), dim)
             s = x @ pivots.T
             k = min(order, s.shape[1])
