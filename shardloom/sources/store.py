@@ -12,7 +12,7 @@ from shardloom.errors import AlreadyExists, NotFound
 
 
 class Store:
-    """Named tables under one root, on any file system that Spark reaches.
+    """Named tables under one root, on file systems whose rename is atomic and refuses a target that exists (HDFS, local).
 
     commit() writes every table of a change and then a manifest that names their directories, by renaming it into
     place; readers take the newest manifest, so that they see all of a change or nothing. Two writers that start from
@@ -52,6 +52,32 @@ class Store:
         rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*found["paths"])
         return rows.select(schema.fieldNames())  # without the directory of the commit
 
+    def create(self, schemas: dict[str, StructType], partition_by: tuple[str, ...] = ()) -> int:
+        """Empty tables of the given schemas; names that exist raise."""
+        known = self._manifest(self.version())
+        for name in schemas:
+            if name in known:
+                raise AlreadyExists(f"table {name} exists")
+        return self.commit({name: self.spark.createDataFrame([], schema) for name, schema in schemas.items()}, partition_by=partition_by)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete the files that none of the newest `keep` versions names, and older manifests; returns how many directories went.
+
+        Tables that were dropped or replaced go with them. Readers of older versions, and writers at work, must be done.
+        """
+        newest = self.version()
+        kept = {p.rsplit("/", 1)[-1] for v in range(max(1, newest - keep + 1), newest + 1) for t in self._manifest(v).values() for p in t["paths"]}
+        gone = 0
+        for table in self._fs.listStatus(self._path(self.root)) if newest else ():
+            if table.getPath().getName() == "_manifests":
+                continue
+            for part in self._fs.listStatus(table.getPath()):
+                if part.getPath().getName() not in kept:
+                    gone += bool(self._fs.delete(part.getPath(), True))
+        for v in range(1, max(1, newest - keep + 1)):
+            self._fs.delete(self._path(f"{self.root}/_manifests/{v:012d}.json"), False)
+        return gone
+
     def commit(self, tables: dict[str, DataFrame], append: bool = False, partition_by: tuple[str, ...] = (), drop: tuple[str, ...] = ()) -> int:
         """Write the tables as the next version, in the place of their rows or after them; the other tables stay."""
         base = self.version()

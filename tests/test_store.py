@@ -35,6 +35,22 @@ def test_versions(spark, tmp_path):
         store.read("t")
 
 
+def test_empty_tables_and_vacuum(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.vacuum() == 0
+    df = spark.createDataFrame([(1, [0.5])], "vec_id long, embedding array<float>")
+    store.create({"vectors": df.schema, "other": df.schema})
+    assert store.read("vectors").count() == 0 and store.read("vectors").schema == df.schema
+    with pytest.raises(AlreadyExists):
+        store.create({"vectors": df.schema})
+    store.commit({"vectors": df}, append=True)
+    store.commit({"vectors": df})
+    store.commit({}, drop=("other",))
+    assert store.vacuum() == 3 and store.read("vectors").count() == 1 and store.version() == 4
+    with pytest.raises(NotFound):
+        store.read("other")
+
+
 def test_catalogue(spark):
     have = index(spark, ("a", "old", 2, 10, 4, 2, 1))
     with pytest.raises(AlreadyExists):
